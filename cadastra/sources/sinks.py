@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Parquet, replacing what is there; facts are partitioned, e.g. by year."""
-    writer = df.write.mode("overwrite")
+    """Parquet, replacing what is there; facts are partitioned, e.g. by year.
+
+    The rebalance hint gathers the rows of a partition value and splits a large
+    one over many tasks.
+    """
     if partition_by:
-        df = df.repartition(*[F.col(c) for c in partition_by], F.pmod(F.xxhash64(*df.columns), F.lit(64)))
-        writer = df.write.mode("overwrite").partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def write_report(df: DataFrame, path: str, note: str | None = None) -> None:
