@@ -51,9 +51,11 @@ def monthly_rows(lines: DataFrame, geography: str, marks: list[str] = HEADER_MAR
         .groupBy("file")
         .agg(F.min_by("line", "at").alias("line"), F.first("header").alias("header"))
     )
-    pairs = F.slice(F.arrays_zip(split_quoted("header").alias("m"), split_quoted("line").alias("v")), 2, 1 << 20)
-    out = body.select("file", F.explode(pairs).alias("p"))
-    return out.select("file", F.col("p")["0"].alias("month_label"), F.col("p")["1"].alias("value"))
+    pairs = F.zip_with(
+        split_quoted("header"), split_quoted("line"), lambda m, v: F.struct(m.alias("month_label"), v.alias("value"))
+    )
+    out = body.select("file", F.posexplode(pairs).alias("at", "pair")).where(F.col("at") > 0)
+    return out.select("file", "pair.month_label", "pair.value")
 
 
 def melt_months(wide: DataFrame, ids: list[str]) -> DataFrame:
