@@ -42,7 +42,7 @@ def target_encoded(encoder: TargetEncoder, df: DataFrame, cols: list[str] | None
         side = encoder.table.where(F.col("feature") == c).select(
             F.col("key").alias("_key"), F.col("te").alias(f"{c}{suffix}")
         )
-        df = df.join(side, encoder_key(c) == F.col("_key"), "left").drop("_key")
+        df = df.drop(f"{c}{suffix}").join(side, encoder_key(c) == F.col("_key"), "left").drop("_key")
         df = df.withColumn(f"{c}{suffix}", F.coalesce(f"{c}{suffix}", F.lit(encoder.global_mean)))
     return df
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cadastra.functions.postal import lookup_fsa, lookup_postal
+from cadastra.functions.postal import lookup_fsa, lookup_postal, postal_code, postal_fsa
 from cadastra.functions.text import fold
 from cadastra.session import stage
 
@@ -65,7 +65,7 @@ def resolve_contexts(
         lookup.select(
             F.col(year).cast("int").alias("_year"),
             lookup_postal(postal).alias("_postal"),
-            lookup_fsa(postal).alias("_fsa"),
+            F.upper(postal_fsa(postal_code(postal))).alias("_fsa"),
             *[F.trim(F.col(c).cast("string")).alias(c) for c in facets],
         )
         .groupBy("_year", "_postal", "_fsa", *facets)
