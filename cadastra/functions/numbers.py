@@ -6,25 +6,21 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cadastra.functions.text import as_column, strip_ws
 
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-
-# Marks for "not available" in published tables.
-NUMBER_FOOTNOTES = ["", "..", "...", "--"]
+NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\z"
 
 
 def to_number(col: str | Column) -> Column:
     """Double of a text; anything that is not a plain number becomes NULL.
 
-    The pattern guards against texts a cast would take (``1d``, ``NaN``).
+    The pattern guards against texts a cast would take (``1d``, ``NaN``); what
+    does not match is extracted as the empty text, which is no number either.
     """
-    text = strip_ws(col)
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.regexp_extract(strip_ws(col), NUMBER, 1).try_cast("double")
 
 
 def footnoted_number(col: str | Column) -> Column:
-    """Number with thousands commas; footnote marks become NULL."""
-    text = strip_ws(F.regexp_replace(as_column(col).cast("string"), ",", ""))
-    return F.when(~text.isin(NUMBER_FOOTNOTES), to_number(text))
+    """Number with thousands commas; footnote marks such as ``..`` are no numbers."""
+    return to_number(F.translate(as_column(col).cast("string"), ",", ""))
 
 
 def number_of(df: DataFrame, name: str) -> Column:

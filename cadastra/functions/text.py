@@ -11,21 +11,30 @@ EMPTY_MARKS = ["", "nan", "None", "NaT"]
 EMPTY_MARKS_UPPER = ["", "NAN", "NONE", "NAT", "UNKNOWN"]
 
 
+# The characters that count as white space, ASCII and beyond.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def as_column(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def strip_ws(col: str | Column) -> Column:
     """Strip all white space, including NBSP and tabs, from both ends."""
-    return F.regexp_replace(as_column(col).cast("string"), r"(?U)^\s+|\s+$", "")
+    return F.btrim(as_column(col).cast("string"), F.lit(WHITE_SPACE))
 
 
 def drop_ws(col: str | Column) -> Column:
-    return F.regexp_replace(as_column(col).cast("string"), r"(?U)\s+", "")
+    return F.translate(as_column(col).cast("string"), WHITE_SPACE, "")
 
 
-def unless_in(col: Column, marks: list[str], default: str = UNKNOWN) -> Column:
-    return F.when(col.isNull() | col.isin(marks), F.lit(default)).otherwise(col)
+def unless_in(col: Column, marks: list[str]) -> Column:
+    """The text, or ``Unknown`` if it is NULL or one of the marks."""
+    return F.when(col.isNull() | col.isin(marks), F.lit(UNKNOWN)).otherwise(col)
 
 
 def unknown_if_empty(col: str | Column) -> Column:
@@ -56,13 +65,13 @@ def fold(col: str | Column) -> Column:
 
 def fold_spaces(col: str | Column) -> Column:
     """Like ``fold``, with runs of white space as one space."""
-    return F.regexp_replace(fold(col), r"(?U)\s+", " ")
+    return F.regexp_replace(F.translate(fold(col), WHITE_SPACE, " " * len(WHITE_SPACE)), " +", " ")
 
 
 def street_name(col: str | Column) -> Column:
     """Upper-case words of letters and digits, separated by single spaces."""
-    words = F.regexp_replace(F.upper(as_column(col).cast("string")), r"(?U)[^A-Z0-9\s]|\s", " ")
-    return F.coalesce(F.trim(F.regexp_replace(words, " +", " ")), F.lit(""))
+    words = F.regexp_replace(F.upper(as_column(col).cast("string")), "[^A-Z0-9]+", " ")
+    return F.coalesce(F.trim(words), F.lit(""))
 
 
 def pair_key(first: str | Column, second: str | Column) -> Column:

@@ -73,16 +73,15 @@ def clean_fact(raw: DataFrame, cols: FactColumns | None = None) -> DataFrame:
     """Typed, filtered and normalised facts: one projection, one filter, one projection."""
     cols = cols or FactColumns()
     require_columns(raw, cols.kept, "extract")
-    typed = raw.select(*cols.kept).withColumns({c: number_of(raw, c) for c in (cols.target, cols.year, cols.coordinate)})
-    kept = keep_valid_facts(typed, cols)
-    years = {c: null_outside(number_of(raw, c), cols.oldest_year, F.col(cols.year)) for c in (cols.built, cols.improved)}
-    kept = kept.withColumns(
+    numbers = (cols.target, cols.year, cols.coordinate, cols.built, cols.improved)
+    typed = raw.select(*cols.kept).withColumns({c: number_of(raw, c) for c in numbers})
+    kept = keep_valid_facts(typed, cols).withColumns(
         {
-            **years,
+            **{c: null_outside(c, cols.oldest_year, F.col(cols.year)) for c in (cols.built, cols.improved)},
             **{c: unknown_if_empty(c) for c in cols.categories},
-            cols.postal: postal_code(unknown_if_empty(cols.postal)),
-            cols.plan: plan_code(unknown_if_empty(cols.plan)),
-            cols.lot: plan_code(unknown_if_empty(cols.lot)),
+            cols.postal: postal_code(cols.postal),
+            cols.plan: plan_code(cols.plan),
+            cols.lot: plan_code(cols.lot),
         }
     )
     return kept.withColumns(

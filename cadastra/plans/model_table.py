@@ -117,15 +117,15 @@ def build_model_table(
     loaded = load_fact(fact, cols)
     table = property_features(loaded, cols)
     notes = [("engineered_property_feature", c, "created") for c in new_columns(loaded, table)]
-    base = table
+    families = [f for f in history_families(cols) if f[0] in table.columns]
+    # The histories read these few columns several times.
+    base = stage(table.select(cols.year, cols.target, *[f[0] for f in families]))
 
     table, macro, statuses = merge_yearly(table, sources, cols.year)
     notes += [("engineered_macro_feature", c, "merged") for c in macro]
     notes += [("source_status", name, status) for name, status in statuses.items()]
 
-    for group, prefix, extended, keep in history_families(cols):
-        if group not in table.columns:
-            continue
+    for group, prefix, extended, keep in families:
         history = group_history(base, cols.year, group, cols.target, prefix, extended, keep)
         table = attach_history(table, history, cols.year, group)
         notes += [("engineered_group_feature", c, "created") for c in keep]

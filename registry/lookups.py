@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import addresses, completion, counts, facets, ranges, requests
 from cadastra.plans import evaluate, scoring
+from cadastra.session import stage
 from registry import standins as st
 from registry.cleaning import ADDRESS_PARTS, FACT
 from registry.core import query, rounded, sql_number, table, with_sql
@@ -66,7 +67,7 @@ FACET_SQL = with_sql(*st.FEATURE_PARTS, ("request", request_sql())) + ", " + _YE
 
 def faceted(spark, sf):
     return facets.faceted_options(
-        request_table(spark, sf), st.features(spark, sf), "request_id", "REPORT_YEAR", "PROPERTY_POSTAL_CODE",
+        request_table(spark, sf), stage(st.features(spark, sf)), "request_id", "REPORT_YEAR", "PROPERTY_POSTAL_CODE",
         dict(_FACETS), F.lit(2026), LIMITS,
     )
 
@@ -117,7 +118,7 @@ select request_id, cast(row_number() over (partition by request_id order by firs
 from single qualify candidate_id <= "limit" """
 )
 def address_resolution(spark, sf):
-    table_ = addresses.address_table(st.raw_addresses(spark, sf), "row_id")
+    table_ = stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id"))
     return addresses.resolve_addresses(request_table(spark, sf), table_, F.lit(2026))
 
 
@@ -251,7 +252,7 @@ def _completion_sql() -> str:
 
 @query(_completion_sql())
 def feature_completion(spark, sf):
-    model, _ = model_table_parts(spark, sf)
+    model = stage(model_table_parts(spark, sf)[0])
     fields = completion.request_fields(scoring_requests(spark, sf), F.lit(2026))
     fields = fields.select("request_id", "REPORT_YEAR", *_OWN.values())
     out = completion.complete_features(fields, model, _WANTED, ["LOT"])
@@ -293,7 +294,8 @@ def score_requests(spark, sf):
     bundle, out, before = small_model(spark, sf)
     by_group = evaluate.group_errors(out, "NEIGHBOURHOOD_CODE")
     metrics = evaluate.regression_metrics(out, evaluate.target_cap(before, "CURRENT_LAND_VALUE"))
-    return scoring.score_requests(scoring_requests(spark, sf), bundle, st.features(spark, sf), by_group, metrics)
+    lookup = stage(st.features(spark, sf))
+    return scoring.score_requests(scoring_requests(spark, sf), bundle, lookup, by_group, metrics)
 
 
 @query(

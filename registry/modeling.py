@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cadastra.functions import errors
 from cadastra.operators import encoding, quantiles, sampling
 from cadastra.plans import evaluate, importance, train
+from cadastra.session import stage
 from registry import standins as st
 from registry.cleaning import FACT, FEATURES
 from registry.core import query, rounded, table, with_sql
@@ -26,7 +27,7 @@ SCORED = with_sql(*SCORED_PARTS)
 
 
 def split(spark, sf):
-    feats = st.features(spark, sf)
+    feats = stage(st.features(spark, sf))
     return feats.where(F.col("REPORT_YEAR") < 2024), feats.where(F.col("REPORT_YEAR") >= 2024)
 
 
@@ -34,13 +35,14 @@ def scored(spark, sf):
     before, after = split(spark, sf)
     encoder = encoding.fit_target_encoder(before, ["POSTAL_FSA"], errors.log_target("CURRENT_LAND_VALUE"))
     out = encoding.target_encoded(encoder, after)
-    return out.select(
+    out = out.select(
         "PID",
         "LEGAL_TYPE",
         F.expr("nullif(NEIGHBOURHOOD_CODE, '7')").alias("NEIGHBOURHOOD_CODE"),
         F.col("CURRENT_LAND_VALUE").alias("y_true"),
         errors.unlog_prediction("POSTAL_FSA_te").alias("y_pred"),
     )
+    return stage(out)
 
 
 @query(
@@ -245,8 +247,9 @@ def feature_labels(spark, sf):
 
 
 def small_model(spark, sf, trees: int = 5):
+    """Training reads a written table, as the training job does."""
     settings = train.TrainSettings(trees=trees, depth=4, step=0.3)
-    return train.train_and_score(st.features(spark, sf), settings)
+    return train.train_and_score(stage(st.features(spark, sf)), settings)
 
 
 @query()
