@@ -166,7 +166,7 @@ def faceted_options(
     on = [F.col(f"c{c}").eqNullSafe(F.col(c)) for c in [*area, *marks]]
     side = contexts.select("_context", *[F.col(c).alias(f"c{c}") for c in [*area, *marks]])
     inside = facts.join(side, _all(on)).select("_context", *facets, "_rows")
-    counted = (
+    counted = stage(
         inside.unpivot(["_context", "_rows"], list(facets), "facet", "option")
         .groupBy("_context", "facet", "option")
         .agg(F.sum("_rows").alias("rows"))
@@ -179,8 +179,9 @@ def faceted_options(
         .where(F.col("rank") <= max(limits.values()))
         .where(F.col("rank") <= limit)
     )
-    ranked = stage(ranked)
-    sizes = stage(inside.groupBy("_context").agg(F.sum("_rows").alias("context_row_count")))
+    # The options of any one facet add up to the rows of the context.
+    one = counted.where(F.col("facet") == next(iter(facets)))
+    sizes = one.groupBy("_context").agg(F.sum("rows").alias("context_row_count"))
     found = state.join(sizes, "_context", "left").select(
         request_id,
         F.when(F.col("_year") != ALL_YEARS, F.col("_year")).alias("used_year"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cadastra.functions.numbers import (
     building_age_bin,
@@ -32,17 +32,11 @@ def load_fact(df: DataFrame, cols: FactColumns) -> DataFrame:
     return typed.where(F.col(cols.year).isNotNull() & (F.col(cols.target) > 0))
 
 
-def property_features(
-    df: DataFrame, cols: FactColumns | None = None, zoning: str = "ZONING_CLASSIFICATION", centre: int = CENTRE_YEAR
-) -> DataFrame:
+def property_columns(
+    df: DataFrame, cols: FactColumns, zoning: str = "ZONING_CLASSIFICATION", centre: int = CENTRE_YEAR
+) -> dict[str, Column]:
     """Year, age, bin, postal and interaction columns; parts without input are left out."""
-    cols = cols or FactColumns()
-    out = {
-        "REPORT_YEAR_NUM": F.col(cols.year),
-        "REPORT_YEAR_CENTERED": F.col(cols.year) - centre,
-        cols.postal: postal_code(cols.postal),
-        "POSTAL_FSA": postal_fsa(postal_code(cols.postal)),
-    }
+    out = {"REPORT_YEAR_NUM": F.col(cols.year), "REPORT_YEAR_CENTERED": F.col(cols.year) - centre}
     if cols.built in df.columns:
         built = number_of(df, cols.built)
         out[cols.built] = built
@@ -55,11 +49,17 @@ def property_features(
         out["YEARS_SINCE_IMPROVEMENT"] = since
         out["HAS_BIG_IMPROVEMENT"] = improved.isNotNull().cast("int")
         out["IMPROVEMENT_RECENCY_BIN"] = improvement_recency_bin(since)
+    out[cols.postal] = postal_code(cols.postal)
+    out["POSTAL_FSA"] = postal_fsa(postal_code(cols.postal))
     if cols.plan in df.columns:
         out[cols.plan] = plan_code(cols.plan)
     if cols.legal in df.columns and zoning in df.columns:
         out["LEGAL_ZONING_COMBO"] = pair_key(cols.legal, zoning)
-    return df.withColumns(out)
+    return out
+
+
+def property_features(df: DataFrame, cols: FactColumns | None = None) -> DataFrame:
+    return df.withColumns(property_columns(df, cols or FactColumns()))
 
 
 def census_decision(
@@ -115,8 +115,10 @@ def build_model_table(
     """
     cols = cols or FactColumns()
     loaded = load_fact(fact, cols)
-    table = property_features(loaded, cols)
-    notes = [("engineered_property_feature", c, "created") for c in new_columns(loaded, table)]
+    made = property_columns(loaded, cols)
+    table = loaded.withColumns(made)
+    normalised = {cols.postal, cols.plan, cols.built, cols.improved}
+    notes = [("engineered_property_feature", c, "created") for c in made if c not in normalised]
     families = [f for f in history_families(cols) if f[0] in table.columns]
     # The histories read these few columns several times.
     base = stage(table.select(cols.year, cols.target, *[f[0] for f in families]))
