@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app: str = "cadastra", master: str | None = None, **conf: str) -> SparkSession:
@@ -40,9 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"{CHECKPOINT_DIR} must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="cadastra-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cadastra-")
+        spark.sparkContext.setCheckpointDir(_LOCAL_FOLDERS[app])
+    return _LOCAL_FOLDERS[app]
 
 
 def stage(df: DataFrame) -> DataFrame:

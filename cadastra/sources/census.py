@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cadastra.functions.numbers import footnoted_number, to_number
 from cadastra.functions.text import fold, strip_ws
 from cadastra.operators.checks import require_columns, require_rows
+from cadastra.operators.counts import null_rates, summary_rows, wide_to_summary
 from cadastra.session import stage
 from cadastra.sources.delimited import read_text_table
 
@@ -106,3 +107,11 @@ def census_profile(data: DataFrame, geo: DataFrame) -> DataFrame:
     """The profile of the target areas, refused if there are none or they have no rows."""
     targets = require_rows(target_areas(geo), "target geographies not found in the geography index")
     return require_rows(profile_by_geo(data, targets, CENSUS_RULES), "no census rows for the target geographies")
+
+
+def profile_summary(profile: DataFrame) -> DataFrame:
+    """Number of areas and null rate of each feature as a long report."""
+    cols = [c for c in profile.columns if c.startswith("census_")]
+    areas = profile.agg(F.count(F.lit(1)).alias("target_geographies"))
+    rates = summary_rows(null_rates(profile, cols), "missing_rate", "metric", F.col("value"))
+    return wide_to_summary(areas, "meta").unionByName(rates)
