@@ -69,16 +69,15 @@ def monthly_csv_with_preamble(spark, sf):
         .groupBy(F.concat(F.lit("NATION_"), F.col("s_nationkey")).alias("area"), F.trunc(F.col("l_shipdate").cast("date"), "month").alias("d"))
         .agg(F.round(F.avg("l_discount"), 6).alias("v"))
     )
-    months = rates.select("d").distinct()
-    areas = rates.select("area").distinct()
-    full = areas.join(months, F.lit(True)).join(rates, ["area", "d"], "left")
+    months = rates.agg(F.array_sort(F.collect_set("d")).alias("all"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", c))), lambda x: x["t"]), ",")
-    header = months.withColumn("t", quoted(F.date_format("d", "MMMM yyyy"))).agg(joined(F.col("t")).alias("t"))
-    header = header.select(F.lit(2).alias("n"), F.concat(F.lit('"Geography","January 1951",'), "t").alias("line"))
-    cells = full.withColumn("t", F.coalesce(F.col("v").cast("string"), F.lit(""))).groupBy("area").agg(joined(F.col("t")).alias("t"))
-    rows = cells.select(F.lit(3).alias("n"), F.concat(quoted(F.col("area")), F.lit(",,"), "t").alias("line"))
-    title = months.agg(F.count(F.lit(1)).alias("c")).select(F.lit(1).alias("n"), F.concat(F.lit('"Rates, months: '), "c", F.lit('"')).alias("line"))
+    labels = F.array_join(F.transform("all", lambda d: quoted(F.date_format(d, "MMMM yyyy"))), ",")
+    header = months.select(F.lit(2).alias("n"), F.concat(F.lit('"Geography","January 1951",'), labels).alias("line"))
+    known = F.map_from_entries(F.collect_list(F.struct("d", F.col("v").cast("string"))))
+    cells = rates.groupBy("area").agg(known.alias("known")).withColumn("all", months.scalar())
+    values = F.transform("all", lambda d: F.coalesce(F.try_element_at("known", d), F.lit("")))
+    rows = cells.select(F.lit(3).alias("n"), F.concat(quoted(F.col("area")), F.lit(",,"), F.array_join(values, ",")).alias("line"))
+    title = months.select(F.lit(1).alias("n"), F.concat(F.lit('"Rates, months: '), F.size("all"), F.lit('"')).alias("line"))
     path = scratch(spark, "monthly")
     lines = title.unionByName(header).unionByName(rows)
     lines.coalesce(1).sortWithinPartitions("n", "line").select("line").write.text(path)
