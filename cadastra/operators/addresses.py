@@ -137,13 +137,13 @@ def resolve_addresses(
 
     Requests without a candidate give no row; see ``lookup_outcome``.
     """
-    order = ["ROW_ID"] if "ROW_ID" in addresses.columns else []
     keys = ["CIVIC_LOW", "CIVIC_HIGH", "STREET_NAME_NORMALIZED", "POSTAL_CODE_NORMALIZED", "POSTAL_FSA"]
     usable = addresses.where(F.col("CIVIC_LOW").isNotNull())
-    if order:
+    if "ROW_ID" in addresses.columns:
         rows = usable.groupBy(*CANDIDATE_COLUMNS, *keys).agg(F.min("ROW_ID").alias("ROW_ID"))
     else:
-        rows = usable.select(*CANDIDATE_COLUMNS, *keys).distinct()
+        rows = usable.select(*CANDIDATE_COLUMNS, *keys).distinct().orderBy(*CANDIDATE_COLUMNS, *keys)
+        rows = rows.withColumn("ROW_ID", F.monotonically_increasing_id())
     rows = stage(rows)
     top = top_level(rows, "CIVIC_LOW", "CIVIC_HIGH")
 
@@ -166,7 +166,8 @@ def resolve_addresses(
 
     # Rows per asked block, once under their street and once under any street.
     node = ["_year", "level", "block"]
-    placed = range_blocks(rows.withColumn("_year", F.explode(F.array("REPORT_YEAR", F.lit(ALL_YEARS)))), "CIVIC_LOW", "CIVIC_HIGH")
+    narrow = rows.select("ROW_ID", F.explode(F.array("REPORT_YEAR", F.lit(ALL_YEARS))).alias("_year"), *keys)
+    placed = range_blocks(narrow, "CIVIC_LOW", "CIVIC_HIGH")
     placed = placed.join(spots.select(*node).distinct(), node, "left_semi")
     streets = F.array(F.struct(F.lit(False).alias("any_street"), F.col("STREET_NAME_NORMALIZED").alias("street")),
                       F.struct(F.lit(True).alias("any_street"), F.lit("").alias("street")))
@@ -174,23 +175,21 @@ def resolve_addresses(
     scopes = _postal_scopes(F.col("POSTAL_CODE_NORMALIZED"), F.col("POSTAL_FSA"))
     placed = placed.withColumn("_p", F.explode(scopes)).select("*", "_p.*").drop("_p")
     place = [*node, "any_street", "street", "scope", "area"]
-    row_order = [F.asc(c) for c in (order or CANDIDATE_COLUMNS)]
-    first = Window.partitionBy(*place).orderBy(*row_order)
-    best = stage(
-        placed.withColumn("_at", F.row_number().over(first)).where(F.col("_at") <= max_candidates).drop("_at", *keys)
-    )
+    first = Window.partitionBy(*place).orderBy("ROW_ID")
+    best = placed.select(*place, "ROW_ID").withColumn("_at", F.row_number().over(first))
+    best = stage(best.where(F.col("_at") <= max_candidates).drop("_at"))
 
     # The streets a query may use: exact, containing, any.
-    known = best.where(~F.col("any_street")).select(*node, "street").distinct()
-    nodes = queries.join(spots, ["_year", "_number"])
+    known = stage(best.where(~F.col("any_street")).select(*node, "street").distinct())
+    nodes = stage(queries.join(spots, ["_year", "_number"]))
     exact = nodes.withColumn("street", F.col("_street")).join(known, [*node, "street"], "left_semi")
-    exact = exact.select(*query, "level", "block", "street", F.lit(0).alias("_tier"))
+    exact = stage(exact.select(*query, "level", "block", "street", F.lit(0).alias("_tier")))
     rest = nodes.join(exact.select(*query).distinct(), query, "left_anti")
     pairs = stage(containing_texts(rest, "_street", known, "street"))
     spelled = rest.select(*node, "_number", "_street").distinct().join(pairs, "_street")
     spelled = spelled.join(known, [*node, "street"], "left_semi")
     inside = queries.join(spelled, ["_year", "_number", "_street"])
-    inside = inside.select(*query, "level", "block", "street", F.lit(1).alias("_tier"))
+    inside = stage(inside.select(*query, "level", "block", "street", F.lit(1).alias("_tier")))
     loose = rest.join(inside.select(*query).distinct(), query, "left_anti")
     loose = loose.select(*query, "level", "block", F.lit("").alias("street"), F.lit(2).alias("_tier"))
     ways = exact.unionByName(inside).unionByName(loose).withColumn("any_street", F.col("_tier") == 2)
@@ -198,10 +197,12 @@ def resolve_addresses(
     ways = ways.withColumn("_p", F.explode(areas)).select("*", "_p.*").drop("_p")
     ways = ways.where((F.col("scope") == 2) | (F.col("area") != ""))
 
-    hits = ways.join(best, place)
+    # The best postal area is settled on the places alone, before their rows are fetched.
     per_query = Window.partitionBy(*query)
-    hits = hits.withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
-    ranked = hits.withColumn("candidate_id", F.row_number().over(per_query.orderBy(*row_order)))
+    held = ways.join(best.select(*place).distinct(), place, "left_semi")
+    held = held.withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
+    hits = held.join(best, place)
+    ranked = hits.withColumn("candidate_id", F.row_number().over(per_query.orderBy("ROW_ID")))
     ranked = ranked.where(F.col("candidate_id") <= max_candidates)
 
     # An empty text is inside every street, so it keeps all rows as a "contains" match.
@@ -212,10 +213,11 @@ def resolve_addresses(
             "candidate_id",
             mode.alias("name_match_mode"),
             F.element_at(F.array(F.lit("exact"), F.lit("fsa"), F.lit("none")), F.col("scope") + 1).alias("postal_match_mode"),
-            *CANDIDATE_COLUMNS,
+            "ROW_ID",
         )
     )
     answered = asked.join(ranked, query).where(F.col("candidate_id") <= F.col("_limit"))
+    answered = answered.join(rows.select("ROW_ID", *CANDIDATE_COLUMNS), "ROW_ID")
     return answered.select(
         request_id,
         "candidate_id",

@@ -47,10 +47,22 @@ def with_lags(df: DataFrame, year: str, cols: list[str]) -> DataFrame:
     return df.withColumns(out)
 
 
+def with_years_until(df: DataFrame, year: str, last_year: int) -> DataFrame:
+    """Empty rows for the years after the last one, so that lags reach them."""
+    end = F.max(year).alias("_end")
+    missing = F.when(F.col("_end") < last_year, F.sequence(F.col("_end") + 1, F.lit(last_year)))
+    spine = df.agg(end).select(F.explode(missing).cast("int").alias(year))
+    return df.unionByName(spine, allowMissingColumns=True)
+
+
 def prepare_yearly(
-    df: DataFrame | None, year: str, order: list[str] | None = None
+    df: DataFrame | None, year: str, order: list[str] | None = None, extend_to: int | None = None
 ) -> tuple[DataFrame | None, str]:
-    """A series ready to join, and its status; a source that is no use gives None."""
+    """A series ready to join, and its status; a source that is no use gives None.
+
+    By default a series ends with its last year; ``extend_to`` adds later years,
+    which then hold the lag of the year before.
+    """
     if df is None:
         return None, "missing_input"
     if year not in df.columns:
@@ -65,6 +77,8 @@ def prepare_yearly(
     if not usable:
         return None, "no_numeric_features"
     single = last_per_year(keyed, year, usable, [f"_order_{c}" for c in order] if order else None)
+    if extend_to is not None:
+        single = with_years_until(single, year, extend_to)
     return with_lags(single, year, usable), "merged"
 
 

@@ -341,6 +341,16 @@ def group_history_extended(spark, sf):
     return rounded_history(hist.group_history(fact, "REPORT_YEAR", "NEIGHBOURHOOD_CODE", "CURRENT_LAND_VALUE", "neigh", True))
 
 
+@query(
+    with_sql(*st.FEATURE_PARTS, ("h", history_sql("features", "REPORT_YEAR", "POSTAL_FSA", "CURRENT_LAND_VALUE", "fsa", False)))
+    + "select * from (select PID, REPORT_YEAR, POSTAL_FSA, CURRENT_LAND_VALUE from features) left join h using (REPORT_YEAR, POSTAL_FSA)"
+)
+def group_history_joined_to_facts(spark, sf):
+    facts = st.features(spark, sf).select("PID", "REPORT_YEAR", "POSTAL_FSA", "CURRENT_LAND_VALUE")
+    history = hist.group_history(facts, "REPORT_YEAR", "POSTAL_FSA", "CURRENT_LAND_VALUE", "fsa")
+    return rounded_history(hist.attach_history(facts, history, "REPORT_YEAR", "POSTAL_FSA"))
+
+
 @query(
     "with base as (select cast(year(o_orderdate) as integer) as y, cast(o_custkey as varchar) as k, o_totalprice from orders) "
     + history_sql("base", "y", "k", "o_totalprice", "cust", False)

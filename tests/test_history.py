@@ -68,6 +68,11 @@ def test_yearly_statuses_and_lags(spark):
     table, status = yearly.prepare_yearly(source, "REPORT_YEAR")
     assert status == "merged" and table.columns == ["REPORT_YEAR", "a", "a_lag1", "a_yoy_change"]
     assert [tuple(r) for r in table.orderBy("REPORT_YEAR").collect()] == [(2020, 2.0, None, None), (2022, 5.0, 2.0, 3.0)]
+    longer, _ = yearly.prepare_yearly(source, "REPORT_YEAR", extend_to=2024)
+    assert [tuple(r) for r in longer.where("REPORT_YEAR > 2022").orderBy("REPORT_YEAR").collect()] == [
+        (2023, None, 5.0, None), (2024, None, None, None),
+    ]
+    assert yearly.prepare_yearly(source, "REPORT_YEAR", extend_to=2000)[0].count() == 2
     assert yearly.prepare_yearly(None, "REPORT_YEAR")[1] == "missing_input"
     assert yearly.prepare_yearly(source.drop("a"), "REPORT_YEAR")[1] == "no_numeric_features"
     assert yearly.prepare_yearly(source.drop("REPORT_YEAR"), "REPORT_YEAR")[1] == "missing_REPORT_YEAR"
