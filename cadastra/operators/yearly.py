@@ -51,7 +51,7 @@ def with_years_until(df: DataFrame, year: str, last_year: int) -> DataFrame:
     """Empty rows for the years after the last one, so that lags reach them."""
     end = F.max(year).alias("_end")
     missing = F.when(F.col("_end") < last_year, F.sequence(F.col("_end") + 1, F.lit(last_year)))
-    spine = df.agg(end).select(F.explode(missing).cast("int").alias(year))
+    spine = df.agg(end).select(F.explode(missing).alias(year))
     return df.unionByName(spine, allowMissingColumns=True)
 
 
