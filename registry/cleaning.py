@@ -84,7 +84,7 @@ def top_value_counts(spark, sf):
 
 
 @query(
-    "select p_type, p_name, count(*) as count, row_number() over (partition by p_type order by count(*) desc, p_name) as rank "
+    "select p_type, p_name, count(*) as count, cast(row_number() over (partition by p_type order by count(*) desc, p_name) as integer) as rank "
     "from part group by 1, 2 qualify rank <= 3"
 )
 def top_values_per_group(spark, sf):

@@ -218,7 +218,7 @@ def chart_hardest_groups(spark, sf):
     """with b as (select p_brand, round(sum(p_retailprice), 4) as importance_abs from part group by 1),
  r as (select *, row_number() over (order by importance_abs desc, p_brand) as importance_rank, count(*) over () as n from b)
 select p_brand, importance_abs, cast(importance_rank as integer) as importance_rank, 'most_important' as importance_bucket from r where importance_rank <= 10
-union all select p_brand, importance_abs, importance_rank, 'least_important' from r where importance_rank > n - 10"""
+union all select p_brand, importance_abs, cast(importance_rank as integer), 'least_important' from r where importance_rank > n - 10"""
 )
 def top_and_bottom_ranks(spark, sf):
     brands = table(spark, sf, "part").groupBy("p_brand").agg(F.round(F.sum("p_retailprice"), 4).alias("importance_abs"))
