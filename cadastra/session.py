@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-_LOCAL_FOLDERS: dict[str, str] = {}
+_FOLDERS: set[str] = set()
 
 
 def build_session(app: str = "cadastra", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,20 +32,32 @@ def build_session(app: str = "cadastra", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster.
+    """The folder for stages that every executor can reach, one for each application.
 
-    Only a local session that names none gets a temporary folder of its own.
+    It lies in ``spark.checkpoint.dir``; where that is unset, in the warehouse,
+    which executors share as well. The stages are deleted when the driver's
+    process ends, or earlier by ``drop_stages``.
     """
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"{CHECKPOINT_DIR} must name a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="cadastra-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_FOLDERS[app])
-    return _LOCAL_FOLDERS[app]
+    base = spark.conf.get(CHECKPOINT_DIR, None) or spark.conf.get("spark.sql.warehouse.dir") + "/_stages"
+    folder = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete, spark, folder)
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended already
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all stages of this application; tables that read them end with it."""
+    _delete(spark, shared_folder(spark))
 
 
 def stage(df: DataFrame) -> DataFrame:
