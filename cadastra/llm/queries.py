@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.llm import text_queries  # noqa: F401
+from cadastra.llm import text_queries, url_queries  # noqa: F401
 from cadastra.llm.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
