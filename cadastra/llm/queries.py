@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadastra.llm import dedup_queries, mix_queries, quality_queries, text_queries, url_queries  # noqa: F401
+from cadastra.llm import dedup_queries, mix_queries, quality_queries, text_queries, url_queries, vector_queries  # noqa: F401
 from cadastra.llm.core import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
