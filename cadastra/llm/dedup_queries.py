@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm.core import query, table
 from cadastra.llm.exact_dedup import dedup
+from cadastra.llm.ngram_join import similar_groups
 
 EXACT_SQL = r"""
 with t as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents)
@@ -18,3 +19,9 @@ from t window w as (partition by text_sha256)
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row that stays for every document."""
     return dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
+    return similar_groups(table(spark, sf_dir, "documents"))
