@@ -15,7 +15,7 @@ def _nearest_root(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the links (u, v): the smallest node that links lead to.
 
-    Two kinds of steps alternate until nothing changes. The first hangs a node's
+    Two kinds of steps alternate until the links are stars. The first hangs a node's
     larger neighbours under its smallest one, the second its smaller neighbours;
     both keep what is connected, and the depth of the trees shrinks to one in a
     number of steps that grows with its logarithm. A node with very many
@@ -23,7 +23,6 @@ def components(links: DataFrame) -> DataFrame:
     gathered.
     """
     edges = stage(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         larger = both.join(_nearest_root(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -31,7 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         joined = hung.join(_nearest_root(hung), "u")
         smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = stage(smaller.where(F.col("u") != F.col("v")).distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
+        # Done when each node hangs under one other, and none of those under another.
+        roots = edges.select(F.col("v").alias("u")).distinct()
+        state = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(roots.select("u", F.lit(2).cast("long").alias("n")).join(edges, "u", "left_semi"))
+        if state.where("n > 1").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))

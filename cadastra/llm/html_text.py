@@ -311,7 +311,10 @@ def fit_on(pages: DataFrame, id_col: str, html_col: str, rows: int = TRAINING_PA
         field = train_field(rows["html"].tolist())
         yield pd.DataFrame({"model": [json.dumps([field.weights, field.transitions])]})
 
-    weights, transitions = json.loads(sample.repartition(1).mapInPandas(run, "model string").first()["model"])
+    found = sample.repartition(1).mapInPandas(run, "model string").first()  # nothing for an empty table
+    if found is None:
+        return train_field([])
+    weights, transitions = json.loads(found["model"])
     return ChainField(weights, transitions)
 
 

@@ -2,15 +2,18 @@
 
 A document is the set of its 5-word shingles. For a Jaccard similarity of at
 least 80 %, two sets share one of their first 20 % under any order of all
-shingles. Several orders are used: all put shingles known to be frequent last,
-and differ in the hash that orders the rest. The first one proposes candidates,
-which must share a prefix under each of the others too before their texts are
-compared.
+shingles, and under a longer prefix more of them, by a number that follows from
+their sizes. Several orders are used: all put shingles known to be frequent
+last, and differ in the hash that orders the rest. The first one proposes
+candidates, which must share as many as similar sets would under each of the
+others too before their texts are compared.
 
 Where many documents share a shingle they aren't paired with each other but with
-one leader. Documents that reach their leader are in its group. Only those in
-lists where somebody failed to are compared further: with the leader that has
-most links, then with all of the list that are in another group still.
+one leader of similar size. Documents that reach their leader are in its group.
+One that is far from its leader (a similarity under 60 %) can't be similar to one
+that reached it, for the distances obey the triangle inequality. So only lists
+with two documents that are far from the leader, or one that is neither, are
+looked at again: with the leader that has most links, then without leaders.
 """
 
 from __future__ import annotations
@@ -23,10 +26,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadastra.llm.components import components
 from cadastra.llm.hashing import blocks, mix, ngrams, word_hashes
+from cadastra.llm.url_filter import bloom_level
 from cadastra.session import stage
 
 WORDS = 5
 PERCENT = 80
+#: Under this similarity to a leader, a document is similar to none that reaches the leader.
+FAR_PERCENT = 2 * PERCENT - 100
+#: Share of a set that the other orders' prefixes have.
+OTHER_PREFIX = 50
+#: Bits of the filter that keeps texts without candidates from being shuffled.
+FILTER_BITS = 1 << 26
 #: The orders after the first; each has its own hash.
 OTHER_ORDERS = (1, 2)
 #: Shingles a task counts together, and the documents among them from which a shingle is reported as frequent.
@@ -123,9 +133,9 @@ class Orders:
         return np.where(self.tokens[at] == shingles, self.levels[at], 0)
 
     def prefix(self, shingles: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
-        """Positions of the first shingles of a set: as many as may be missing from a similar set, and one."""
+        """Positions of the first shingles of a set: as many as may be missing from a similar set, and one; or ``OTHER_PREFIX``."""
         n = len(shingles)
-        size = n - -(-PERCENT * n // 100) + 1
+        size = -(-OTHER_PREFIX * n // 100) if order else n - -(-PERCENT * n // 100) + 1
         key = (levels.astype(np.uint64) << np.uint64(58)) | (mix(shingles, 11 + order) >> np.uint64(6))
         return np.argpartition(key, size - 1)[:size] if size < n else np.arange(n)
 
@@ -163,28 +173,32 @@ def _postings(texts: DataFrame, orders) -> DataFrame:
 
 
 def _led(postings: DataFrame, leader: Column) -> DataFrame:
-    """(node, n, to, to_n, token): each document and the leader of a list it is on; a list of several also has its leader."""
-    first = F.min(leader).over(Window.partitionBy("list"))
-    led = postings.select("node", "n", "token", first.alias("first")).select("node", "n", F.col("first.node").alias("to"), F.col("first.n").alias("to_n"), "token")
+    """(node, n, to, to_n, list, token): each document with the leaders of its size and of the next smaller one on its lists.
+
+    Sizes are bands of a factor 1.25, so similar ones are at most one band apart
+    and have a leader in common. A leader is kept with itself where a shingle
+    has several lists.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+    by_size = Window.partitionBy("list").orderBy("band")
+    led = postings.withColumn("band", band).select("node", "n", "list", "token", F.min(leader).over(by_size.rangeBetween(0, 0)).alias("own"), F.min(leader).over(by_size.rangeBetween(-1, -1)).alias("lower"))
+    led = led.where((F.col("own.node") != F.col("node")) | F.col("lower").isNotNull() | F.col("token").isNotNull())
+    led = led.withColumn("leader", F.explode(F.array_compact(F.array("own", "lower"))))
+    led = led.select("node", "n", F.col("leader.node").alias("to"), F.col("leader.n").alias("to_n"), "token")
     return led.where((F.col("node") != F.col("to")) | F.col("token").isNotNull()).distinct()
 
 
 def _star(led: DataFrame) -> DataFrame:
     """(node, n, to, to_n, across): documents with their leaders, and the leaders of one shingle's lists with the first of them."""
     pair = ["node", "n", "to", "to_n"]
-    first = F.min(F.struct("to", "to_n")).over(Window.partitionBy("token"))
-    leaders = led.where(F.col("token").isNotNull()).select("token", "to", "to_n").distinct().select(F.col("to").alias("node"), F.col("to_n").alias("n"), first.alias("first"))
-    across = leaders.select("node", "n", F.col("first.to").alias("to"), F.col("first.to_n").alias("to_n"), F.lit(True).alias("across"))
-    pairs = led.select(*pair, F.lit(False).alias("across")).unionByName(across).where(F.col("node") != F.col("to"))
+    leaders = led.where(F.col("token").isNotNull()).select(F.col("to").alias("node"), F.col("to_n").alias("n"), F.col("token").alias("list"), F.lit(None).cast("long").alias("token")).distinct()
+    across = _led(leaders, F.struct("node", "n")).select(*pair, F.lit(True).alias("across"))
+    pairs = led.select(*pair, F.lit(False).alias("across")).where(F.col("node") != F.col("to")).unionByName(across)
     return pairs.groupBy(*pair).agg(F.max("across").alias("across"))
 
 
 def _candidates(texts: DataFrame, orders) -> DataFrame:
-    """(node, text, first, and an array for each other order) from (node, text) of candidates.
-
-    The arrays have 32 bits of each shingle: by mistake they may let a pair
-    through, but keep none back.
-    """
+    """(node, text, and a prefix for each other order, 32 bits of a shingle) from (node, text) of candidates."""
     names = [f"order{k}" for k in OTHER_ORDERS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,21 +220,39 @@ def _candidates(texts: DataFrame, orders) -> DataFrame:
     return texts.mapInArrow(run, "node long, text string, " + ", ".join(f"{n} array<int>" for n in names))
 
 
+def _shared(percent: int, n: Column, m: Column) -> Column:
+    """Least number of shingles that sets of these sizes share at a similarity."""
+    return F.ceil(F.lit(float(percent)) * (n + m) / F.lit(100.0 + percent) - F.lit(1e-6))
+
+
 def _similar_sizes(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
 
 
-def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, to) of the pairs (node, n, to, to_n) that are similar: by size, by every other order, then by their whole texts."""
+def _judged(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, to, near, link) of the pairs (node, n, to, to_n).
+
+    Sets that share s shingles share at least s less what their prefixes leave
+    out of either of them under each order. Where a pair shares less than sets
+    of ``FAR_PERCENT`` would, it isn't near; where less than similar ones would,
+    it isn't compared. What is left is compared by the whole texts. Prefixes
+    hold 32 bits of each shingle; the slack is far above the number of those
+    that can fall together.
+    """
     names = [f"order{k}" for k in OTHER_ORDERS]
-    close = pairs.where(_similar_sizes(F.col("n"), F.col("to_n"))).select("node", "to").distinct()
-    a = held.select("node", *[F.col(n).alias(f"a_{n}") for n in names])
-    b = held.select(F.col("node").alias("to"), *[F.col(n).alias(f"b_{n}") for n in names])
-    close = close.join(a, "node").join(b, "to")
-    for n in names:
-        close = close.where(F.arrays_overlap(f"a_{n}", f"b_{n}"))
-    close = stage(close.select("node", "to").distinct())
-    whole = close.join(held.select("node", F.col("text").alias("a")), "node").join(held.select(F.col("node").alias("to"), F.col("text").alias("b")), "to")
+    n, m = F.col("n"), F.col("to_n")
+    a = held.select("node", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = held.select(F.col("node").alias("to"), *[F.col(c).alias(f"b_{c}") for c in names])
+    both = pairs.select("node", "to", "n", "to_n").join(a, "node").join(b, "to")
+    size = [F.ceil(F.lit(OTHER_PREFIX / 100) * x) for x in (n, m)]
+    slack = 8 + F.greatest(*size) * F.greatest(*size) / F.lit(float(1 << 30))
+    left = F.least(size[0] - n, size[1] - m) - slack
+    common = F.least(*[F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in names])
+    near = (common >= left + _shared(FAR_PERCENT, n, m)) & (_shared(FAR_PERCENT, n, m) <= F.least(n, m))
+    close = _similar_sizes(n, m) & (common >= left + _shared(PERCENT, n, m))
+    filtered = stage(both.select("node", "to", near.alias("near"), close.alias("close")).groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close")))
+    wanted = filtered.where("close").select("node", "to")
+    whole = wanted.join(held.select("node", F.col("text").alias("a")), "node").join(held.select(F.col("node").alias("to"), F.col("text").alias("b")), "to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, leader = None, np.empty(0, np.uint64)
@@ -232,29 +264,39 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                 for i, mine in shingle_sets(part.column(2).to_pylist()):
                     if tos[i] != last:
                         last, (_, leader) = tos[i], next(shingle_sets([bs[i].as_py()]))
-                    shared = np.isin(mine, leader, assume_unique=True).sum() if len(mine) + len(leader) < 200 else len(np.intersect1d(mine, leader, assume_unique=True))
+                    shared = len(np.intersect1d(mine, leader, assume_unique=True))
                     if 100 * shared >= PERCENT * (len(mine) + len(leader) - shared):
                         keep.append(i)
                 if keep:
                     kept = part.take(pa.array(keep, pa.int32()))
                     yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["node", "to"])
 
-    return whole.select("node", "to", "a", "b").mapInArrow(run, "node long, to long").distinct()
+    links = whole.select("node", "to", "a", "b").mapInArrow(run, "node long, to long").distinct().withColumn("link", F.lit(True))
+    return stage(filtered.join(links, ["node", "to"], "left").select("node", "to", "near", F.coalesce("link", F.lit(False)).alias("link")))
 
 
-def _joined(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs with the component of both ends: a node without links is its own."""
-    pairs = pairs.join(roots.select("node", F.col("root").alias("a")), "node", "left").join(roots.select(F.col("node").alias("to"), F.col("root").alias("b")), "to", "left")
-    return pairs.withColumn("a", F.coalesce("a", "node")).withColumn("b", F.coalesce("b", "to"))
+def _open(pairs: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes that may be similar to one of another component on a list of theirs.
 
-
-def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Nodes of lists whose leader has somebody in another component; for a shingle with several lists, of all its lists."""
-    apart = _joined(pairs, roots).where(F.col("a") != F.col("b")).select(F.col("to").alias("node")).distinct()
-    across = pairs.where("across")
-    tops = across.join(apart, "node", "left_semi").select(F.col("to").alias("node")).unionByName(apart).distinct()
-    lists = across.join(tops.withColumnRenamed("node", "to"), "to", "left_semi").select("node").unionByName(tops).distinct()
-    return pairs.join(lists.withColumnRenamed("node", "to"), "to", "left_semi").select("node").unionByName(lists).distinct()
+    Of a leader that isn't joined with somebody: those without a link to it, if
+    they are several; all, if one that isn't joined is near it. For a shingle
+    with several lists, all of them, if anybody isn't joined.
+    """
+    known = judged.where(~F.col("link")).join(roots.select("node", F.col("root").alias("a")), "node", "left")
+    known = known.join(roots.select(F.col("node").alias("to"), F.col("root").alias("b")), "to", "left")
+    loose = stage(known.select("node", "to", "near", (F.coalesce("a", "node") != F.coalesce("b", "to")).alias("apart")))
+    apart = loose.where("apart").select("node", "to", "near")
+    leaders = loose.groupBy("to").agg(F.count("*").alias("n"), F.max("apart").alias("apart"), F.max(F.col("near") & F.col("apart")).alias("near")).where("apart")
+    far = loose.join(leaders.where((F.col("n") > 1) & ~F.col("near")).select("to"), "to", "left_semi").select("node")
+    whole = leaders.where("near").select("to")
+    across = pairs.where("across").select("node", "to")
+    ends = across.select("node").unionByName(across.select(F.col("to").alias("node"))).distinct()
+    split = apart.select("node").unionByName(apart.select(F.col("to").alias("node"))).distinct().join(ends, "node", "left_semi")
+    tops = across.join(split, "node", "left_semi").select("to").unionByName(split.select(F.col("node").alias("to"))).distinct()
+    lists = across.join(tops, "to", "left_semi").select(F.col("node").alias("to")).unionByName(tops)
+    whole = whole.unionByName(lists).distinct()
+    members = pairs.select("node", "to").join(whole, "to", "left_semi").select("node").unionByName(whole.select(F.col("to").alias("node")))
+    return far.unionByName(members).distinct()
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,32 +321,35 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = profile.where(F.col("token").isNull()).select("id", "n", "node")
     nodes = stage(rows.where(F.col("id").isNotNull() & F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("id"), F.max("n").cast("int").alias("n")))
 
-    pairs = stage(_star(_led(_postings(texts.where(F.col("id").isNotNull()).select("text"), orders), F.struct("node", "n"))))
+    found = _star(_led(_postings(texts.where(F.col("id").isNotNull()).select("text"), orders), F.struct("node", "n")))
+    pairs = stage(found)
     ends = pairs.select("node").unionByName(pairs.select(F.col("to").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("id", "node")
-    held = stage(_candidates(texts.join(wanted, "id").select("node", "text"), orders))
-    links = stage(_verified(pairs, held))
-    roots = components(links.select(F.col("node").alias("u"), F.col("to").alias("v")))
+    wanted = stage(nodes.join(ends, "node", "left_semi").select("id", "node"))
+    listed = bloom_level(wanted.select(F.col("id").alias("key")), 0, wanted.count(), FILTER_BITS)
+    held = stage(_candidates(texts.where(listed.contains(F.col("id"))).join(wanted, "id").select("node", "text"), orders))
+    judged = _judged(pairs, held)
+    links = judged.where("link").select("node", "to")
+    roots = _roots(links)
 
     # Lists that aren't joined yet: once more with the leader that has most links, then without leaders.
     for leaders in (True, False):
-        left = stage(_open(pairs, roots))
+        left = stage(_open(pairs, judged, roots))
         if left.isEmpty():
             break
-        degree = links.select("node").unionByName(links.select(F.col("to").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
         still = _postings(held.join(left, "node", "left_semi").select("text"), orders)
         if leaders:
+            degree = links.select("node").unionByName(links.select(F.col("to").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
             known = still.join(degree, "node", "left").withColumn("degree", -F.coalesce("degree", F.lit(0)))
-            more = stage(_star(_led(known, F.struct("degree", "node", "n"))))
-            pairs = stage(more)
+            pairs = stage(_star(_led(known, F.struct("degree", "node", "n"))))
         else:
-            lists = stage(_labelled(still, roots))
-            a, b = lists.select("token", "node", "n", "root"), lists.select("token", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("root").alias("to_root"))
-            all_ = a.join(b, "token").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("to_root")) & _similar_sizes(F.col("n"), F.col("to_n")))
-            more = all_.select("node", "n", "to", "to_n").distinct()
-        found = _verified(more.join(links, ["node", "to"], "left_anti"), held)
-        links = stage(links.unionByName(found))
-        roots = components(links.select(F.col("node").alias("u"), F.col("to").alias("v")))
+            lists = still.select(F.coalesce("token", "list").alias("token"), "node", "n").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            lists = stage(lists)
+            a, b = lists, lists.select("token", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("root").alias("to_root"))
+            both = a.join(b, "token").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("to_root")) & _similar_sizes(F.col("n"), F.col("to_n")))
+            pairs = stage(both.select("node", "n", "to", "to_n").distinct())
+        judged = _judged(pairs, held)
+        links = stage(links.unionByName(judged.where("link").select("node", "to")))
+        roots = _roots(links)
 
     named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -314,7 +359,5 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _labelled(postings: DataFrame, roots: DataFrame) -> DataFrame:
-    """(token, node, n, root): whole lists, with the component of each member."""
-    lists = postings.select(F.coalesce("token", "list").alias("token"), "node", "n").distinct()
-    return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links.select(F.col("node").alias("u"), F.col("to").alias("v")))

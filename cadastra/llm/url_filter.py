@@ -46,9 +46,9 @@ def _mask(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _level(keys: DataFrame, number: int, n_keys: int) -> Level:
-    """A filter of ``BITS_PER_KEY`` bits a key; bits meet as 64-bit words, combined before the shuffle."""
-    n_bits = -(-max(1, n_keys) * BITS_PER_KEY // 64) * 64
+def bloom_level(keys: DataFrame, number: int, n_keys: int, most_bits: int | None = None) -> Level:
+    """A filter of ``BITS_PER_KEY`` bits a key, or ``most_bits``; bits meet as 64-bit words, combined before the shuffle."""
+    n_bits = -(-min(max(1, n_keys) * BITS_PER_KEY, most_bits or 1 << 62) // 64) * 64
     bit = F.explode(F.array(*_bits(F.col("key"), number, n_bits)))
     words = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(_mask(F.col("bit"))).alias("word"))
     filled = F.transform(
@@ -81,7 +81,7 @@ def build_cascade(keys: DataFrame, listed: str = "listed") -> Cascade:
     here, there = keys.where(F.col(listed)).select("key"), keys.where(~F.col(listed)).select("key")
     n_keys = here.count()
     while n_keys:
-        level = _level(here, len(levels), n_keys)
+        level = bloom_level(here, len(levels), n_keys)
         levels.append(level)
         here, there = stage(there.where(level.contains(F.col("key")))), here
         n_keys = here.count()
