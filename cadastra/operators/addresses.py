@@ -23,7 +23,6 @@ from cadastra.operators.ranges import number_blocks, range_blocks, top_level
 from cadastra.session import stage
 from cadastra.sources.delimited import optional_column
 
-MAX_CANDIDATES = 20
 DEFAULT_LIMIT = 10
 
 # Columns of the address source, and those that tell candidates apart.
@@ -90,12 +89,14 @@ def address_table(raw: DataFrame, row_id: str | None = None) -> DataFrame:
     )
 
 
-def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text: str) -> DataFrame:
-    """(pattern, text) pairs where the distinct text contains the distinct pattern.
+def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text: str, on: list[str] | None = None) -> DataFrame:
+    """(pattern, text) pairs where the distinct text contains the distinct pattern and the columns ``on`` agree.
 
     Texts are indexed by their grams of one to three characters; a pattern
-    looks up its rarest gram and only those texts are compared.
+    looks up its rarest gram and only those texts are compared. With ``on``, a
+    short pattern meets only the texts of its own place.
     """
+    on = on or []
     lengths = F.array(*[F.lit(i) for i in (1, 2, 3)])
 
     def grams(col: str, sizes: Column) -> Column:
@@ -104,20 +105,20 @@ def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text:
             F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.substr(F.col(col), i, k))))
         )
 
-    indexed = texts.select(text).distinct().where(F.length(text) > 0).withColumn("_gram", F.explode(grams(text, lengths)))
+    indexed = texts.select(*on, text).distinct().where(F.length(text) > 0).withColumn("_gram", F.explode(grams(text, lengths)))
     indexed = stage(indexed)
     frequency = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
-    asked = patterns.select(pattern).distinct().where(F.length(pattern) > 0)
+    asked = patterns.select(*on, pattern).distinct().where(F.length(pattern) > 0)
     longest = F.array(F.least(F.length(pattern), F.lit(3)))
-    split = asked.withColumn("_gram", F.explode(grams(pattern, longest)))
+    split = asked.select(pattern).distinct().withColumn("_gram", F.explode(grams(pattern, longest)))
     # A gram no text has rules the pattern out; otherwise take the rarest.
     rarest = (
         split.join(frequency, "_gram", "left")
         .groupBy(pattern)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
     )
-    pairs = rarest.join(indexed, "_gram")
-    return pairs.where(F.contains(F.col(text), F.col(pattern))).select(pattern, text)
+    pairs = asked.join(rarest, pattern).join(indexed, [*on, "_gram"])
+    return pairs.where(F.contains(F.col(text), F.col(pattern))).select(*on, pattern, text)
 
 
 def _postal_scopes(postal: Column, fsa: Column) -> Column:
@@ -131,11 +132,12 @@ def resolve_addresses(
     addresses: DataFrame,
     default_year: Column,
     request_id: str = "request_id",
-    max_candidates: int = MAX_CANDIDATES,
 ) -> DataFrame:
     """Candidates per request: rank, the match modes, and the candidate columns.
 
-    Requests without a candidate give no row; see ``lookup_outcome``.
+    A request gets as many as its ``limit`` (``DEFAULT_LIMIT`` without one); no
+    place keeps more rows than the largest limit asked for. Requests without a
+    candidate give no row; see ``lookup_outcome``.
     """
     keys = ["CIVIC_LOW", "CIVIC_HIGH", "STREET_NAME_NORMALIZED", "POSTAL_CODE_NORMALIZED", "POSTAL_FSA"]
     usable = addresses.where(F.col("CIVIC_LOW").isNotNull())
@@ -144,6 +146,8 @@ def resolve_addresses(
     else:
         rows = usable.select(*CANDIDATE_COLUMNS, *keys).distinct().orderBy(*CANDIDATE_COLUMNS, *keys)
         rows = rows.withColumn("ROW_ID", F.monotonically_increasing_id())
+    # Rows that differ in their keys only are one candidate.
+    rows = rows.withColumn("ROW_ID", F.min("ROW_ID").over(Window.partitionBy(*CANDIDATE_COLUMNS)))
     rows = stage(rows)
     top = top_level(rows, "CIVIC_LOW", "CIVIC_HIGH")
 
@@ -160,6 +164,7 @@ def resolve_addresses(
             lookup_fsa("property_postal_code").alias("_fsa"),
         )
     )
+    max_candidates = asked.agg(F.max("_limit")).first()[0] or 0
     query = ["_year", "_number", "_street", "_postal", "_fsa"]
     queries = asked.where(F.col("_number").isNotNull()).select(*query).distinct()
     spots = stage(number_blocks(queries.select("_year", "_number").distinct(), "_number", top))
@@ -176,7 +181,7 @@ def resolve_addresses(
     placed = placed.withColumn("_p", F.explode(scopes)).select("*", "_p.*").drop("_p")
     place = [*node, "any_street", "street", "scope", "area"]
     first = Window.partitionBy(*place).orderBy("ROW_ID")
-    best = placed.select(*place, "ROW_ID").withColumn("_at", F.row_number().over(first))
+    best = placed.select(*place, "ROW_ID").distinct().withColumn("_at", F.row_number().over(first))
     best = stage(best.where(F.col("_at") <= max_candidates).drop("_at"))
 
     # The streets a query may use: exact, containing, any.
@@ -185,9 +190,8 @@ def resolve_addresses(
     exact = nodes.withColumn("street", F.col("_street")).join(known, [*node, "street"], "left_semi")
     exact = stage(exact.select(*query, "level", "block", "street", F.lit(0).alias("_tier")))
     rest = nodes.join(exact.select(*query).distinct(), query, "left_anti")
-    pairs = stage(containing_texts(rest, "_street", known, "street"))
-    spelled = rest.select(*node, "_number", "_street").distinct().join(pairs, "_street")
-    spelled = spelled.join(known, [*node, "street"], "left_semi")
+    pairs = containing_texts(rest, "_street", known, "street", node)
+    spelled = rest.select(*node, "_number", "_street").distinct().join(pairs, [*node, "_street"])
     inside = queries.join(spelled, ["_year", "_number", "_street"])
     inside = stage(inside.select(*query, "level", "block", "street", F.lit(1).alias("_tier")))
     loose = rest.join(inside.select(*query).distinct(), query, "left_anti")
@@ -217,7 +221,7 @@ def resolve_addresses(
         )
     )
     answered = asked.join(ranked, query).where(F.col("candidate_id") <= F.col("_limit"))
-    answered = answered.join(rows.select("ROW_ID", *CANDIDATE_COLUMNS), "ROW_ID")
+    answered = answered.join(rows.select("ROW_ID", *CANDIDATE_COLUMNS).distinct(), "ROW_ID")
     return answered.select(
         request_id,
         "candidate_id",

@@ -67,7 +67,7 @@ def year_bounds(df: DataFrame, year: str) -> DataFrame:
 def share_of_total(df: DataFrame, group: str, value: str, total: str, share: str) -> DataFrame:
     """Sum per group and its share of the grand total."""
     summed = df.groupBy(group).agg(F.sum(value).alias(total))
-    grand = df.agg(F.sum(value).alias("_all")).scalar()
+    grand = F.sum(total).over(Window.partitionBy())  # over one row for each group
     return summed.withColumn(share, F.when(grand > 0, F.try_divide(F.col(total), grand)))
 
 

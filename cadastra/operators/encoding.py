@@ -97,11 +97,10 @@ def column_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     return most_frequent(melt(text, [], cols), ["feature"], "value")
 
 
-def column_medians(df: DataFrame, cols: list[str], rows_bound: int | None = None) -> DataFrame:
+def column_medians(df: DataFrame, cols: list[str]) -> DataFrame:
     """``feature, median`` of numeric columns, exact, in one pass."""
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    bound = df.count() if rows_bound is None else rows_bound
-    return exact_quantiles(melt(numbers, [], cols), ["feature"], "value", {"median": 0.5}, rows_bound=bound)
+    return exact_quantiles(melt(numbers, [], cols), ["feature"], "value", {"median": 0.5})
 
 
 def fit_fill_values(train: DataFrame, cat_cols: list[str], numeric_cols: list[str]) -> dict[str, object]:

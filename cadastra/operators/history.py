@@ -14,7 +14,7 @@ from cadastra.session import stage
 
 
 def group_year_stats(
-    fact: DataFrame, year: str, group: str, target: str, rows_bound: int | None = None
+    fact: DataFrame, year: str, group: str, target: str
 ) -> DataFrame:
     """Exact median, mean and count of the target per (year, group)."""
     base = fact.select(year, blank_to_unknown(group).alias(group), F.col(target).cast("double").alias(target))
@@ -24,7 +24,6 @@ def group_year_stats(
         target,
         {"median": 0.5},
         [F.avg(target).alias("mean"), F.count(target).alias("count")],
-        rows_bound,
     )
 
 
@@ -113,10 +112,9 @@ def group_history(
     keep: list[str] | None = None,
     measure: str = "land_value",
     strict_year: bool = False,
-    rows_bound: int | None = None,
 ) -> DataFrame:
     """History columns, one row per observed (year, group)."""
-    stats = group_year_stats(fact, year, group, target, rows_bound)
+    stats = group_year_stats(fact, year, group, target)
     return history_of_stats(stats, year, group, prefix, extended, keep, measure, strict_year)
 
 

@@ -1,15 +1,10 @@
 """Exact quantiles of groups of any size.
 
-The built-in ``percentile`` keeps every distinct value of a group in the memory
-of one task, so it is used only when the largest group is known to be small.
-Otherwise each group is narrowed: values are counted per (group, value), the
-counts are summed into a bounded number of ordered buckets, and only the
-buckets that hold a wanted rank are looked at more closely. No step sees more
-than a bounded number of rows of one group in one task:
-
-* coarse buckets: 1,024 per factor e, so at most 1.5 million for any doubles;
-* fine buckets: 2**20 equal parts of one coarse bucket;
-* values: at most 2**22 different doubles fit into one fine bucket.
+Values are counted per (group, value) and sorted by group and value over all
+tasks. A value's rank is the number of values in the sort partitions before its
+own, of the same group, plus those before it in its partition. Only partitions
+that hold a wanted rank are ranked inside, so no step sees more of a group in
+one task than a sort partition, whatever the sizes of the groups.
 """
 
 from __future__ import annotations
@@ -18,9 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-COARSE_PER_E = 1024
-FINE_PARTS = 1 << 20
-SMALL_GROUP_ROWS = 200_000
+from cadastra.session import stage
 
 
 def _pick(flags: list[Column]) -> Column:
@@ -49,120 +42,39 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[f"r{c}"]) for c in cols])
 
 
-def _keep_buckets(cells: DataFrame, buckets: DataFrame, on: list[str], take: list[str]) -> DataFrame:
-    """Cells of the chosen buckets, with the bucket's ``take`` columns."""
-    chosen = buckets.select(*[F.col(c).alias(f"r{c}") for c in on], *take)
-    kept = cells.join(chosen, _same(cells, chosen, on))
-    return kept.drop(*[f"r{c}" for c in on])
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group: one number, from a count over the key columns only."""
-    if not keys:
-        return df.count()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return sizes.agg(F.max("_size")).first()[0] or 0
+def _before(part: list[str], order: str) -> Column:
+    run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("_size").over(run), F.lit(0))
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    probs: dict[str, float],
-    count: str | None = None,
-    rows_bound: int | None = None,
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], count: str | None = None
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles ``{name: p}``.
 
-    Null values are ignored; a group of nulls only gives no row. ``count`` names
-    an optional column with the number of values. ``rows_bound`` is a known
-    bound of the rows of any group; without it the largest group is measured.
+    Null values are ignored; a group of nulls only gives no row. A quantile whose
+    rank is a whole number is that value, infinite ones too. ``count`` names an
+    optional column with the number of values.
     """
     value = F.col(value) if isinstance(value, str) else value
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
-    if bound > SMALL_GROUP_ROWS:
-        return narrowed_quantiles(df, keys, value, probs, count)
-    small = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-    out = small.groupBy(*keys).agg(F.percentile("_v", levels).alias("_q"), F.count("_v").alias("_n"))
-    if not keys:
-        out = out.where(F.col("_n") > 0)
-    counted = [F.col("_n").alias(count)] if count else []
-    return out.select(*keys, *counted, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-
-
-def stats_with_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str | Column,
-    probs: dict[str, float],
-    aggregates: list[Column],
-    rows_bound: int | None = None,
-) -> DataFrame:
-    """Quantiles of ``value`` next to ordinary aggregates, one row per group."""
-    value = F.col(value) if isinstance(value, str) else value
-    bound = largest_group(df, keys) if rows_bound is None else rows_bound
-    if bound <= SMALL_GROUP_ROWS:
-        levels = F.array(*[F.lit(float(p)) for p in probs.values()])
-        out = df.groupBy(*keys).agg(F.percentile(value.cast("double"), levels).alias("_q"), *aggregates)
-        return out.select("*", *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)]).drop("_q")
-    plain = df.groupBy(*keys).agg(*aggregates)
-    ranked = narrowed_quantiles(df, keys, value, probs)
-    if not keys:
-        return plain.select("*", *[ranked.select(n).scalar().alias(n) for n in probs])
-    ranked = ranked.select(*[F.col(k).alias(f"r{k}") for k in keys], *probs)
-    return plain.join(ranked, _same(plain, ranked, keys), "left").drop(*[f"r{k}" for k in keys])
-
-
-def narrowed_quantiles(
-    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], count: str | None = None
-) -> DataFrame:
-    """``exact_quantiles`` for groups of any size."""
-    value = F.col(value) if isinstance(value, str) else value
     points = list(probs.values())
     ids = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
     keyed = [F.col(k).alias(i) for k, i in zip(keys, ids)] or [F.lit(0).alias("_k0")]
 
-    cells = (
+    counted = (
         df.select(*keyed, value.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*ids, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_b1", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * COARSE_PER_E))
-    )
-
-    def before(part: list[str], order: str) -> Column:
-        run = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_size").over(run), F.lit(0))
-
-    coarse = (
-        cells.groupBy(*ids, "_b1")
-        .agg(F.sum("_c").alias("_size"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        .withColumn("_base", before(ids, "_b1"))
-        .withColumn("_n", F.sum("_size").over(Window.partitionBy(*ids)))
-        .where(_wanted(points))
-    )
-    cells = _keep_buckets(cells, coarse, [*ids, "_b1"], ["_base", "_n", "_lo", "_hi"]).withColumn(
-        "_b2",
-        F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * FINE_PARTS),
-        ).otherwise(F.lit(0).cast("long")),
-    )
-    fine = (
-        cells.groupBy(*ids, "_b1", "_b2", "_n", F.col("_base").alias("_base1"))
-        .agg(F.sum("_c").alias("_size"))
-        .withColumn("_base", F.col("_base1") + before([*ids, "_b1"], "_b2"))
-        .where(_wanted(points))
-    )
-    cells = _keep_buckets(
-        cells.drop("_base", "_n", "_lo", "_hi"), fine, [*ids, "_b1", "_b2"], ["_n", F.col("_base").alias("_base2")]
-    )
-    hits = (
-        cells.withColumnRenamed("_c", "_size")
-        .withColumn("_base", F.col("_base2") + before([*ids, "_b1", "_b2"], "_v"))
-        .where(_wanted(points))
+        .agg(F.count(F.lit(1)).alias("_size"))
     )
+    placed = stage(counted.orderBy(*ids, "_v").withColumn("_part", F.spark_partition_id()))
+    # One row for each group and sort partition it lies in.
+    runs = placed.groupBy(*ids, "_part").agg(F.sum("_size").alias("_size"))
+    runs = runs.withColumns({"_base": _before(ids, "_part"), "_n": F.sum("_size").over(Window.partitionBy(*ids))})
+    runs = runs.where(_wanted(points)).drop("_size")
+    chosen = runs.select(*[F.col(c).alias(f"r{c}") for c in [*ids, "_part"]], F.col("_base").alias("_first"), "_n")
+    inside = placed.join(chosen, _same(placed, chosen, [*ids, "_part"]))
+    hits = inside.withColumn("_base", F.col("_first") + _before([*ids, "_part"], "_v")).where(_wanted(points))
 
     found = []
     for i, prob in enumerate(points):
@@ -175,6 +87,19 @@ def narrowed_quantiles(
         result.append(F.col("_n").alias(count))
     for i, (name, prob) in enumerate(probs.items()):
         pos, low, _ = _ranks(prob)
-        gap = F.col(f"_high{i}") - F.col(f"_low{i}")
-        result.append((F.col(f"_low{i}") + gap * (pos - low)).alias(name))
+        below, gap = F.col(f"_low{i}"), F.col(f"_high{i}") - F.col(f"_low{i}")
+        result.append(F.when(pos == low, below).otherwise(below + gap * (pos - low)).alias(name))
     return out.select(*result)
+
+
+def stats_with_quantiles(
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], aggregates: list[Column]
+) -> DataFrame:
+    """Quantiles of ``value`` next to ordinary aggregates, one row per group."""
+    plain = df.groupBy(*keys).agg(*aggregates)
+    ranked = exact_quantiles(df, keys, value, probs)
+    if not keys:
+        one = ranked.select(F.struct(*probs)).scalar()
+        return plain.withColumn("_q", one).select(*plain.columns, *[F.col("_q")[n].alias(n) for n in probs])
+    ranked = ranked.select(*[F.col(k).alias(f"r{k}") for k in keys], *probs)
+    return plain.join(ranked, _same(plain, ranked, keys), "left").drop(*[f"r{k}" for k in keys])

@@ -12,9 +12,9 @@ CAP_LEVEL = 0.995
 SANITY_LEVELS = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
 
 
-def target_cap(train: DataFrame, target: str, rows_bound: int | None = None) -> float:
+def target_cap(train: DataFrame, target: str) -> float:
     """Exact 99.5 % quantile of the train target: one number."""
-    return exact_quantiles(train, [], target, {"cap": CAP_LEVEL}, rows_bound=rows_bound).first()["cap"]
+    return exact_quantiles(train, [], target, {"cap": CAP_LEVEL}).first()["cap"]
 
 
 def with_errors(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
@@ -24,7 +24,7 @@ def with_errors(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred")
 
 
 def regression_metrics(
-    scored: DataFrame, cap: float, truth: str = "y_true", pred: str = "y_pred", rows_bound: int | None = None
+    scored: DataFrame, cap: float, truth: str = "y_true", pred: str = "y_pred"
 ) -> DataFrame:
     """One row: RMSE, MAE, median relative error and the capped twins."""
     top_truth, top_pred = capped(truth, cap), capped(pred, cap)
@@ -40,12 +40,11 @@ def regression_metrics(
             F.sqrt(F.avg(sq_error(top_truth, top_pred))).alias("robust_rmse"),
             F.avg(abs_error(top_truth, top_pred)).alias("robust_mae"),
         ],
-        rows_bound,
     )
 
 
 def sanity_stats(
-    scored: DataFrame, truth: str = "y_true", pred: str = "y_pred", rows_bound: int | None = None
+    scored: DataFrame, truth: str = "y_true", pred: str = "y_pred"
 ) -> DataFrame:
     """p50, p90, p99 and max of truth and prediction, one row each."""
     sides = scored.select(
@@ -56,8 +55,7 @@ def sanity_stats(
             )
         ).alias("s")
     ).select("s.side", "s.v")
-    bound = scored.count() if rows_bound is None else rows_bound
-    return stats_with_quantiles(sides, ["side"], "v", SANITY_LEVELS, [F.max("v").alias("max")], bound)
+    return stats_with_quantiles(sides, ["side"], "v", SANITY_LEVELS, [F.max("v").alias("max")])
 
 
 def scale_warning(stats: DataFrame) -> DataFrame:
@@ -79,7 +77,7 @@ def scale_warning(stats: DataFrame) -> DataFrame:
 
 
 def group_errors(
-    scored: DataFrame, group: str, truth: str = "y_true", pred: str = "y_pred", rows_bound: int | None = None
+    scored: DataFrame, group: str, truth: str = "y_true", pred: str = "y_pred"
 ) -> DataFrame:
     """Count, mean error, RMSE and median relative error per group; NULL is a group."""
     return stats_with_quantiles(
@@ -92,12 +90,11 @@ def group_errors(
             F.avg("abs_error").alias("mean_abs_error"),
             F.sqrt(F.avg("sq_error")).alias("rmse"),
         ],
-        rows_bound,
     )
 
 
 def group_error_spread(
-    scored: DataFrame, group: str, truth: str = "y_true", pred: str = "y_pred", rows_bound: int | None = None
+    scored: DataFrame, group: str, truth: str = "y_true", pred: str = "y_pred"
 ) -> DataFrame:
     """``group_errors`` with the median error and the 90 % relative error."""
     errors = with_errors(scored, truth, pred)
@@ -111,9 +108,8 @@ def group_error_spread(
             F.avg("abs_error").alias("mean_abs_error"),
             F.sqrt(F.avg("sq_error")).alias("rmse"),
         ],
-        rows_bound,
     )
-    medians = exact_quantiles(errors, [group], "abs_error", {"median_abs_error": 0.5}, rows_bound=rows_bound)
+    medians = exact_quantiles(errors, [group], "abs_error", {"median_abs_error": 0.5})
     right = medians.withColumnRenamed(group, "_group")
     return base.join(right, base[group].eqNullSafe(right["_group"]), "left").drop("_group")
 
@@ -130,11 +126,11 @@ def guide_line(points: DataFrame, truth: str = "y_true", pred: str = "y_pred") -
 
 
 def residual_histogram(
-    scored: DataFrame, truth: str = "y_true", pred: str = "y_pred", bins: int = 60, rows_bound: int | None = None
+    scored: DataFrame, truth: str = "y_true", pred: str = "y_pred", bins: int = 60
 ) -> DataFrame:
     """Counts of residuals, clipped to their 1 % and 99 % quantiles, in equal bins."""
     residual = scored.select((F.col(pred) - F.col(truth)).cast("double").alias("_r"))
-    ends = exact_quantiles(residual, [], "_r", {"low": 0.01, "high": 0.99}, rows_bound=rows_bound).first()
+    ends = exact_quantiles(residual, [], "_r", {"low": 0.01, "high": 0.99}).first()
     low, high = ends["low"], ends["high"]
     clipped = F.least(F.greatest("_r", F.lit(low)), F.lit(high))
     slot = F.when(F.lit(high) > F.lit(low), F.least(F.floor((clipped - low) / F.lit((high - low) / bins)), F.lit(bins - 1)))

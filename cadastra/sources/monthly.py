@@ -44,7 +44,9 @@ def monthly_rows(lines: DataFrame, geography: str, marks: list[str] = HEADER_MAR
         .groupBy("file")
         .agg(F.min("at").alias("header_at"), F.min_by("line", "at").alias("header"))
     )
-    rows = lines.where(F.get(split_quoted("line"), 0).eqNullSafe(geography))
+    # The fields are parted only where the line has the name at all.
+    named = F.col("line").contains(geography.replace('"', '""'))
+    rows = lines.where(F.when(named, F.get(split_quoted("line"), 0).eqNullSafe(geography)).otherwise(F.lit(False)))
     body = (
         rows.join(header, "file")
         .where(F.col("at") > F.col("header_at"))

@@ -8,19 +8,19 @@ from cadastra.functions.numbers import footnoted_number
 from cadastra.functions.text import fold, strip_ws
 from cadastra.operators.checks import require_rows
 
-# The head of a year column, and the number of rows searched for it.
+# Fixed value: the head of a year column.
 YEAR_TOTAL = r"^(20\d{2})\s*Total$"
-HEADER_ROWS = 15
 BOOK = ["path", "sheet"]
 
 
-def year_total_columns(cells: DataFrame, pattern: str = YEAR_TOTAL, header_rows: int = HEADER_ROWS) -> DataFrame:
+def year_total_columns(cells: DataFrame, pattern: str = YEAR_TOTAL, header_rows: int | None = None) -> DataFrame:
     """``path, sheet, year, col_idx`` of the row with most year heads.
 
-    The first such row wins, and in it the last column of a year.
+    The first such row wins, and in it the last column of a year. All rows are
+    searched, or the first ``header_rows``.
     """
     year = F.regexp_extract(strip_ws("value"), pattern, 1)
-    heads = cells.where((F.col("row_idx") < header_rows) & (year != "")).withColumn("year", year.cast("int"))
+    heads = cells.where((year != "") & (F.lit(True) if header_rows is None else F.col("row_idx") < header_rows)).withColumn("year", year.cast("int"))
     rows = heads.groupBy(*BOOK, "row_idx", "year").agg(F.max("col_idx").alias("col_idx"))
     sizes = rows.groupBy(*BOOK, "row_idx").agg(F.count(F.lit(1)).alias("years"))
     best = sizes.groupBy(*BOOK).agg(F.min_by("row_idx", F.struct(-F.col("years"), "row_idx")).alias("row_idx"))

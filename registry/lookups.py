@@ -165,13 +165,21 @@ _RULES = {
     "BIG_IMPROVEMENT_YEAR_out_of_range": f"{_N['BIG_IMPROVEMENT_YEAR']} < 1800 or {_N['BIG_IMPROVEMENT_YEAR']} > {_TARGET}",
     "BIG_IMPROVEMENT_YEAR_before_built": f"{_N['BIG_IMPROVEMENT_YEAR']} < {_N['YEAR_BUILT']}",
 }
+
+
+def _absent(c: str) -> str:
+    """A required field that is left out: only a year is a number, and only a number is missing as 0."""
+    zero = f" or coalesce({sql_number(c)} = 0, false)" if c == "YEAR_BUILT" else ""
+    return f"{c} is null or {c} = ''{zero}"
+
+
 _POSTAL = "replace(upper(PROPERTY_POSTAL_CODE), ' ', '')"
 
 
 @query(
     with_sql(("request", scoring_sql()))
     + "select request_id, concat_ws(',', "
-    + ", ".join(f"case when {c} is null or {c} in ('', '0') then '{c}' end" for c in _REQUIRED)
+    + ", ".join(f"case when {_absent(c)} then '{c}' end" for c in _REQUIRED)
     + ") as missing, concat_ws(',', "
     + ", ".join(f"case when {rule} then '{name}' end" for name, rule in _RULES.items())
     + f") as year_errors, regexp_full_match({_POSTAL}, '[A-Z][0-9][A-Z][0-9][A-Z][0-9]') as postal_ok from request"
@@ -301,7 +309,7 @@ def score_requests(spark, sf):
 @query(
     with_sql(("request", scoring_sql()))
     + "select request_id, concat_ws(',', "
-    + ", ".join(f"case when {c} is null or {c} in ('', '0') then 'missing_{c}' end" for c in _REQUIRED)
+    + ", ".join(f"case when {_absent(c)} then 'missing_{c}' end" for c in _REQUIRED)
     + f", case when not regexp_full_match({_POSTAL}, '[A-Z][0-9][A-Z][0-9][A-Z][0-9]') then 'invalid_postal_code' end) as errors from request where errors <> ''"
 )
 def refused_requests(spark, sf):

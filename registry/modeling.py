@@ -102,7 +102,19 @@ def exact_quantiles_of_large_groups(spark, sf):
     """The way without large groups in memory, whatever their size."""
     probs = {"p50": 0.5, "p90": 0.9, "p995": 0.995}
     line = table(spark, sf, "lineitem")
-    return rounded(quantiles.narrowed_quantiles(line, ["l_returnflag"], "l_extendedprice", probs, count="n"))
+    return rounded(quantiles.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", probs, count="n"))
+
+
+@query(
+    "with v as (select l_returnflag, power(10, -(l_orderkey % 250)) * l_extendedprice as v from lineitem) "
+    "select l_returnflag, count(v) as n, round(log10(quantile_cont(v, 0.1)), 6) as p10, round(log10(quantile_cont(v, 0.5)), 6) as p50, "
+    "round(log10(quantile_cont(v, 0.9)), 6) as p90 from v group by 1"
+)
+def quantiles_near_zero(spark, sf):
+    """Values over 250 decades, told as logarithms."""
+    small = table(spark, sf, "lineitem").withColumn("v", F.pow(F.lit(10.0), -(F.col("l_orderkey") % 250)) * F.col("l_extendedprice"))
+    out = quantiles.exact_quantiles(small, ["l_returnflag"], "v", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, count="n")
+    return out.select("l_returnflag", "n", *[F.round(F.log10(c), 6).alias(c) for c in ("p10", "p50", "p90")])
 
 
 @query(
@@ -230,7 +242,9 @@ def top_and_bottom_ranks(spark, sf):
  when regexp_matches(name, '^(mortgage_|ircc_|study_permits_|cmhc_|census_)') or regexp_matches(name, '(_lag1|_yoy_change)$') then 'macro_temporal'
  when name in ('LEGAL_TYPE', 'YEAR_BUILT') then 'property_location_structure' else 'other' end as feature_group,
  case when name like 'mortgage%' then 'mortgage rate series' when name like 'fsa%' then 'earlier years of the assessment extract'
-  when name in ('LEGAL_TYPE', 'YEAR_BUILT') then 'assessment extract' else 'derived while building the table' end as source_dataset
+  when name in ('LEGAL_TYPE', 'YEAR_BUILT') then 'assessment extract' else 'derived while building the table' end as source_dataset,
+ case when name like 'mortgage%' then 'Mortgage rate of the year' when name like 'fsa%' then 'Mean value of the postal area a year before'
+  else upper(substr(name, 1, 1)) || substr(lower(replace(name, '_', ' ')), 2) end as plain_language_meaning
 from (select p_partkey, case p_size % 6 when 0 then 'LEGAL_TYPE' when 1 then 'fsa_prev_year_mean_land_value' when 2 then 'mortgage_' || p_type
  when 3 then p_brand || '_lag1' when 4 then 'YEAR_BUILT' else p_name || '__x' end as name from part)"""
 )
@@ -243,7 +257,7 @@ def feature_labels(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("num__"), name).alias("feature"))
     named = parts.withColumn("base_feature", importance.base_feature("feature"))
     out = importance.with_meaning(named.withColumn("feature_group", importance.feature_group("base_feature")), "base_feature")
-    return out.select("p_partkey", "base_feature", "feature_group", "source_dataset")
+    return out.select("p_partkey", "base_feature", "feature_group", "source_dataset", "plain_language_meaning")
 
 
 def small_model(spark, sf, trees: int = 5):
