@@ -307,7 +307,7 @@ def fit_on(pages: DataFrame, id_col: str, html_col: str, rows: int = TRAINING_PA
     sample = usable.withColumn("draw", F.xxhash64("html")).orderBy("draw", "html").limit(rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["draw", "html"])
+        rows = pd.concat([pd.DataFrame({"draw": [], "html": []}), *batches]).sort_values(["draw", "html"])
         field = train_field(rows["html"].tolist())
         yield pd.DataFrame({"model": [json.dumps([field.weights, field.transitions])]})
 

@@ -190,6 +190,7 @@ def _led(postings: DataFrame, leader: Column) -> DataFrame:
 
 def _star(led: DataFrame) -> DataFrame:
     """(node, n, to, to_n, across): documents with their leaders, and the leaders of one shingle's lists with the first of them."""
+    led = stage(led)  # read twice, and much smaller than the lists
     pair = ["node", "n", "to", "to_n"]
     leaders = led.where(F.col("token").isNotNull()).select(F.col("to").alias("node"), F.col("to_n").alias("n"), F.col("token").alias("list"), F.lit(None).cast("long").alias("token")).distinct()
     across = _led(leaders, F.struct("node", "n")).select(*pair, F.lit(True).alias("across"))
@@ -239,18 +240,23 @@ def _judged(pairs: DataFrame, held: DataFrame) -> DataFrame:
     hold 32 bits of each shingle; the slack is far above the number of those
     that can fall together.
     """
-    names = [f"order{k}" for k in OTHER_ORDERS]
     n, m = F.col("n"), F.col("to_n")
-    a = held.select("node", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = held.select(F.col("node").alias("to"), *[F.col(c).alias(f"b_{c}") for c in names])
-    both = pairs.select("node", "to", "n", "to_n").join(a, "node").join(b, "to")
     size = [F.ceil(F.lit(OTHER_PREFIX / 100) * x) for x in (n, m)]
     slack = 8 + F.greatest(*size) * F.greatest(*size) / F.lit(float(1 << 30))
     left = F.least(size[0] - n, size[1] - m) - slack
-    common = F.least(*[F.size(F.array_intersect(f"a_{c}", f"b_{c}")) for c in names])
-    near = (common >= left + _shared(FAR_PERCENT, n, m)) & (_shared(FAR_PERCENT, n, m) <= F.least(n, m))
-    close = _similar_sizes(n, m) & (common >= left + _shared(PERCENT, n, m))
-    filtered = stage(both.select("node", "to", near.alias("near"), close.alias("close")).groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close")))
+    flags = ["near", "close"]
+    going = pairs.select("node", "to", "n", "to_n", (_shared(FAR_PERCENT, n, m) <= F.least(n, m)).alias("near"), _similar_sizes(n, m).alias("close")).distinct()
+    judged = going.where(~(F.col("near") | F.col("close"))).select("node", "to", *flags)
+    for k in OTHER_ORDERS:
+        a, b = held.select("node", F.col(f"order{k}").alias("a")), held.select(F.col("node").alias("to"), F.col(f"order{k}").alias("b"))
+        both = going.where(F.col("near") | F.col("close")).join(a, "node").join(b, "to")
+        common = left - F.size(F.array_intersect("a", "b"))  # what is missing, but for the sizes
+        near = F.col("near") & (common + _shared(FAR_PERCENT, n, m) <= 0)
+        close = F.col("close") & (common + _shared(PERCENT, n, m) <= 0)
+        going = stage(both.select("node", "to", "n", "to_n", near.alias("near"), close.alias("close")).distinct())
+        judged = judged.unionByName(going.where(~(F.col("near") | F.col("close"))).select("node", "to", *flags))
+    judged = judged.unionByName(going.where(F.col("near") | F.col("close")).select("node", "to", *flags))
+    filtered = stage(judged.groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close")))
     wanted = filtered.where("close").select("node", "to")
     whole = wanted.join(held.select("node", F.col("text").alias("a")), "node").join(held.select(F.col("node").alias("to"), F.col("text").alias("b")), "to")
 

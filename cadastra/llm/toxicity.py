@@ -163,15 +163,17 @@ def fit_on(sample: DataFrame) -> tuple[np.ndarray, float]:
     """Model of (text, label), fitted in one task: the sample is bounded, and so are the weights that come back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
+        rows = pd.concat([pd.DataFrame({"id": [], "label": [], "text": []}), *batches])
         rows = rows.sort_values(["id", "text"])  # the order of the rows is part of the model
         if rows.label.nunique() < 2:
             weights, bias = np.zeros(1), -30.0 if not len(rows) or rows.label.max() == 0 else 0.0
         else:
-            weights, bias = fit([t.lower() for t in rows.text.fillna("")], rows.label.tolist())
+            weights, bias = fit([t.lower() for t in rows.text.fillna("")], rows.label.astype(int).tolist())
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
     found = sample.repartition(1).mapInPandas(run, "weights binary, bias double").first()
+    if found is None:
+        return np.zeros(BUCKETS), -30.0
     weights = np.frombuffer(bytes(found["weights"]), np.float32).astype(np.float64)
     return (weights if len(weights) == BUCKETS else np.zeros(BUCKETS)), found["bias"]
 

@@ -132,7 +132,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ).first()
     host, path = split_url(pages[f"`{url_col}`"])
     urls = pages.select(pages[f"`{id_col}`"].alias("id"), host.alias("host"), path.alias("path"))
-    keys = candidate_keys(F.col("host"), F.col("path"), sorted(shape["labels"]), sorted(shape["lengths"]))
+    keys = candidate_keys(F.col("host"), F.col("path"), sorted(shape["labels"]) or [1], sorted(shape["lengths"]) or [0])
     names = [f"key{i}" for i in range(len(keys))]
     seen = urls.select(F.explode(F.array_compact(F.array(*keys))).alias("key")).select("key", F.lit(None).cast("boolean").alias("blocks"))
     universe = stage(
