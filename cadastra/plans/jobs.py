@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cadastra.operators import addresses, facets
 from cadastra.operators.yearly import yearly_from_monthly, yearly_passthrough
 from cadastra.plans import evaluate, importance, scoring, train
 from cadastra.plans.clean_fact import clean_fact, clean_summary, read_extract
@@ -133,9 +134,34 @@ def score(spark: SparkSession, requests: str, model: str, lookup: str, reports:
     write_table(scoring.refused_requests(asked, bundle.default_year), refused)
 
 
+def address_table(spark: SparkSession, extract: str, out: str) -> None:
+    """Rows usable for address lookup, from the columns of the extract that it needs."""
+    optional = ["BIG_IMPROVEMENT_YEAR", *addresses.CIVIC_COLUMNS]
+    raw = read_columns(spark, extract, addresses.ADDRESS_REQUIRED, optional, sep=";", what="address source")
+    write_table(addresses.address_table(raw), out)
+
+
+def address_lookup(spark: SparkSession, requests: str, addresses_table: str, default_year: str, out: str, outcome: str) -> None:
+    """Candidates of a table of requests, and one row for each request on how it went."""
+    asked = spark.read.parquet(requests)
+    found = stage(addresses.resolve_addresses(asked, spark.read.parquet(addresses_table), F.lit(int(default_year))))
+    write_table(found, out)
+    write_table(addresses.lookup_outcome(asked, found), outcome)
+
+
+def options(spark: SparkSession, requests: str, lookup: str, default_year: str, out: str, contexts: str) -> None:
+    """Ranked options of every field for a table of partly filled requests."""
+    context, ranked = facets.faceted_options(
+        spark.read.parquet(requests), spark.read.parquet(lookup), "request_id", YEAR, "PROPERTY_POSTAL_CODE",
+        {c: c.lower() for c in facets.FACET_LIMITS}, F.lit(int(default_year)), facets.FACET_LIMITS,
+    )
+    write_table(ranked, out)
+    write_table(context, contexts)
+
+
 STEPS: dict[str, Callable[..., None]] = {
     f.__name__: f
-    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, train_model, score)
+    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, train_model, score, address_table, address_lookup, options)
 }
 
 

@@ -28,7 +28,7 @@ REQUEST = {
     "street_number": "case when c_custkey % 19 = 0 then 'x' else concat(' ', c_custkey % 420, case when c_custkey % 4 = 0 then 'A' else '' end) end",
     "street_name": "case c_custkey % 6 when 0 then concat(c_custkey % 30, 'th ave w') when 1 then 'Ave.' when 2 then concat(c_custkey % 30, 'TH-ST') "
     "when 3 then '' when 4 then 'zzz' else 'th  s' end",
-    "limit": "cast(1 + c_custkey % 20 as int)",
+    "limit": "cast(1 + c_custkey % 50 as int)",
 }
 
 
@@ -99,7 +99,7 @@ def top_options(spark, sf):
 _CANDIDATES = ", ".join(addresses.CANDIDATE_COLUMNS)
 
 
-@query(
+ADDRESS_SQL = (
     with_sql(*ADDRESS_PARTS, ("request", request_sql()))
     + ", "
     + _YEARS.format("address")
@@ -110,18 +110,33 @@ _CANDIDATES = ", ".join(addresses.CANDIDATE_COLUMNS)
   qualify st = max(st) over (partition by request_id)),
  near as (select *, case when q_postal <> '' and POSTAL_CODE_NORMALIZED = q_postal then 2 when q_postal <> '' and POSTAL_FSA = substr(q_postal, 1, 3) then 1 else 0 end as pt
   from hit qualify pt = max(pt) over (partition by request_id)),
- single as (select request_id, "limit", asked_year, used_year, st, pt, {_CANDIDATES}, min(ROW_ID) as first_row from near group by all)
-select request_id, cast(row_number() over (partition by request_id order by first_row) as integer) as candidate_id, asked_year as used_report_year,
+ single as (select request_id, "limit", asked_year, used_year, st, pt, {_CANDIDATES}, min(ROW_ID) as first_row from near group by all),
+ answer as (select request_id, cast(row_number() over (partition by request_id order by first_row) as integer) as candidate_id, asked_year as used_report_year,
  used_year is null as year_fallback, case st when 2 then 'exact' when 1 then 'contains' else 'none' end as name_match_mode,
  case pt when 2 then 'exact' when 1 then 'fsa' else 'none' end as postal_match_mode,
  replace(replace(upper(PROPERTY_POSTAL_CODE), ' ', ''), '-', '') as PROPERTY_POSTAL_CODE, {_CANDIDATES.replace(' PROPERTY_POSTAL_CODE,', '')}
-from single qualify candidate_id <= "limit" """
+from single qualify candidate_id <= "limit") """
 )
+
+
+@query(ADDRESS_SQL + "select * from answer")
 def address_resolution(spark, sf):
     table_ = stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id"))
     return addresses.resolve_addresses(request_table(spark, sf), table_, F.lit(2026))
 
 
+@query(
+    ADDRESS_SQL
+    + "select request_id, count(answer.request_id) as match_count, count(answer.request_id) = 1 as auto_selected, "
+    "coalesce(max(answer.postal_match_mode), 'none') as postal_match_mode from request left join answer using (request_id) group by 1"
+)
+def address_outcome(spark, sf):
+    """Number of candidates of every request, and whether one is chosen without asking."""
+    table_ = stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id"))
+    asked = request_table(spark, sf)
+    return addresses.lookup_outcome(asked, addresses.resolve_addresses(asked, table_, F.lit(2026)))
+
+
 @query(
     "select p_partkey, p_size, s_suppkey, s_suppkey % 40 as low, s_suppkey % 40 + s_nationkey as high from part join supplier on p_size between s_suppkey % 40 and s_suppkey % 40 + s_nationkey"
 )

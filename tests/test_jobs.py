@@ -60,3 +60,32 @@ def test_from_raw_files_to_scores(spark, tmp_path):
     assert spark.read.parquet(path("refused")).count() == 0
     jobs.score(spark, path("requests"), path("model"), path("model_table"), path("nothing"), path("scores2"), path("refused2"))
     assert spark.read.parquet(path("scores2")).first()["error_band_source"] == "fallback_20pct"
+
+
+def test_address_and_option_steps(spark, tmp_path):
+    path = lambda *p: str(tmp_path.joinpath(*p))
+    head = "PID;REPORT_YEAR;PROPERTY_POSTAL_CODE;STREET_NAME;LEGAL_TYPE;ZONING_DISTRICT;ZONING_CLASSIFICATION;NEIGHBOURHOOD_CODE;YEAR_BUILT;FROM_CIVIC_NUMBER;TO_CIVIC_NUMBER"
+    lines = [head] + [f"{i};2026;V{i % 3}H 0J4;{'OAK ST' if i % 2 else 'ELM AVE'};LAND;RS;RS-1;{i % 4};1950;;{100 + i}" for i in range(40)]
+    (tmp_path / "extract.csv").write_text("\n".join(lines))
+    jobs.address_table(spark, path("extract.csv"), path("addresses"))
+    table = spark.read.parquet(path("addresses"))
+    assert table.count() == 40 and "PID" not in table.columns
+    requests = spark.createDataFrame(
+        [(1, "107", "oak", "v1h0j4", 2026, 5), (2, "107", "birch", None, None, 5), (3, "999", "oak", None, None, 5), (4, "107", "o", None, 2026, 50)],
+        "request_id int, street_number string, street_name string, property_postal_code string, report_year int, `limit` int",
+    )
+    requests.write.parquet(path("asked"))
+    jobs.address_lookup(spark, path("asked"), path("addresses"), "2026", path("found"), path("outcome"))
+    outcome = {r["request_id"]: (r["match_count"], r["auto_selected"], r["postal_match_mode"]) for r in spark.read.parquet(path("outcome")).collect()}
+    assert outcome == {1: (1, True, "exact"), 2: (1, True, "none"), 3: (0, False, "none"), 4: (1, True, "none")}
+    modes = {r["request_id"]: r["name_match_mode"] for r in spark.read.parquet(path("found")).collect()}
+    assert modes == {1: "contains", 2: "none", 4: "contains"}
+
+    partly = spark.createDataFrame(
+        [(1, "land", None, None, None, None, 2026), (2, "strata", None, None, "1", None, 2026)],
+        "request_id int, legal_type string, zoning_district string, zoning_classification string, neighbourhood_code string, property_postal_code string, report_year int",
+    )
+    partly.write.parquet(path("partly"))
+    jobs.options(spark, path("partly"), path("addresses"), "2026", path("options"), path("contexts"))
+    ranked = {(r["request_id"], r["facet"], r["rank"]): (r["option"], r["rows"]) for r in spark.read.parquet(path("options")).collect()}
+    assert ranked[(1, "LEGAL_TYPE", 1)] == ("LAND", 40) and ranked[(2, "NEIGHBOURHOOD_CODE", 1)] == ("1", 10)

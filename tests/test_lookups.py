@@ -160,3 +160,24 @@ def test_request_rules(spark):
         ["YEAR_BUILT_not_a_year", "REPORT_YEAR_out_of_range"],
         ["YEAR_BUILT_out_of_range", "REPORT_YEAR_before_built", "BIG_IMPROVEMENT_YEAR_before_built"],
     ]
+
+
+def test_short_patterns_meet_their_own_place_only(spark):
+    from cadastra.operators.addresses import containing_texts
+
+    streets = [f"{chr(65 + i % 26)}{i} ST" for i in range(300)]
+    texts = spark.createDataFrame([(i % 100, s) for i, s in enumerate(streets)], "place int, street string")
+    asked = spark.createDataFrame([(p, t) for p in (1, 2) for t in ("S", "ST", "A", "1")], "place int, text string")
+    got = {tuple(r) for r in containing_texts(asked, "text", texts, "street", ["place"]).collect()}
+    assert got == {(p, t, s) for p in (1, 2) for t in ("S", "ST", "A", "1") for i, s in enumerate(streets) if i % 100 == p and t in s}
+
+
+def test_only_asked_prefixes_are_listed(spark):
+    from cadastra.operators.requests import match_options
+
+    options = spark.createDataFrame([("f", "Alpha One"), ("f", "Alpha Two"), ("g", "Beta")], "field string, option string")
+    asked = spark.createDataFrame([(1, "f", "alpha"), (2, "f", "ALPHA  o"), (3, "g", "b"), (4, "g", ""), (5, "f", "alpha one"), (6, "g", None), (7, "f", "x")], "id int, field string, text string")
+    got = {r["id"]: (r["matched"], r["match_mode"]) for r in match_options(asked, options, "id", "text", "option", ["field"]).collect()}
+    assert got == {
+        1: (None, "none"), 2: ("Alpha One", "prefix"), 3: ("Beta", "prefix"), 4: ("Beta", "prefix"), 5: ("Alpha One", "exact"), 6: ("Beta", "prefix"), 7: (None, "none"),
+    }
