@@ -22,11 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     neighbours is a skewed key of a join, which Spark splits; it is never
     gathered.
     """
-    edges = stage(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         larger = both.join(_nearest_root(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = stage(larger.where(F.col("u") != F.col("v")).distinct())
+        hung = larger.where(F.col("u") != F.col("v")).distinct()
         joined = hung.join(_nearest_root(hung), "u")
         smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         edges = stage(smaller.where(F.col("u") != F.col("v")).distinct())

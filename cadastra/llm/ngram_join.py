@@ -256,7 +256,7 @@ def _judged(pairs: DataFrame, held: DataFrame) -> DataFrame:
         going = stage(both.select("node", "to", "n", "to_n", near.alias("near"), close.alias("close")).distinct())
         judged = judged.unionByName(going.where(~(F.col("near") | F.col("close"))).select("node", "to", *flags))
     judged = judged.unionByName(going.where(F.col("near") | F.col("close")).select("node", "to", *flags))
-    filtered = stage(judged.groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close")))
+    filtered = judged.groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close"))
     wanted = filtered.where("close").select("node", "to")
     whole = wanted.join(held.select("node", F.col("text").alias("a")), "node").join(held.select(F.col("node").alias("to"), F.col("text").alias("b")), "to")
 
@@ -337,7 +337,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = judged.where("link").select("node", "to")
     roots = _roots(links)
 
-    # Lists that aren't joined yet: once more with the leader that has most links, then without leaders.
+    # Lists that aren't joined yet: once more with the leader that has most links, which
+    # tells the text that others are copies of, then without leaders.
     for leaders in (True, False):
         left = stage(_open(pairs, judged, roots))
         if left.isEmpty():
@@ -348,13 +349,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             known = still.join(degree, "node", "left").withColumn("degree", -F.coalesce("degree", F.lit(0)))
             pairs = stage(_star(_led(known, F.struct("degree", "node", "n"))))
         else:
-            lists = still.select(F.coalesce("token", "list").alias("token"), "node", "n").distinct().join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            lists = stage(lists)
-            a, b = lists, lists.select("token", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("root").alias("to_root"))
-            both = a.join(b, "token").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("to_root")) & _similar_sizes(F.col("n"), F.col("to_n")))
+            lists = still.select(F.coalesce("token", "list").alias("token"), "node", "n").distinct().join(roots, "node", "left")
+            lists = stage(lists.withColumn("root", F.coalesce("root", "node")))
+            others = lists.select("token", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("root").alias("to_root"))
+            both = lists.join(others, "token").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("to_root")) & _similar_sizes(F.col("n"), F.col("to_n")))
             pairs = stage(both.select("node", "n", "to", "to_n").distinct())
         judged = _judged(pairs, held)
-        links = stage(links.unionByName(judged.where("link").select("node", "to")))
+        links = links.unionByName(judged.where("link").select("node", "to"))
         roots = _roots(links)
 
     named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
