@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 
 @pytest.fixture(scope="session")
 def spark():
-    from cadastra.session import build_session
+    from cadastra.session import build_session, drop_stages
 
     session = build_session(
         "tests",
@@ -26,6 +26,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_stages(session)
     session.stop()
 
 
