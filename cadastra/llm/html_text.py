@@ -41,7 +41,13 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 #: Any other block-level element ends an open paragraph.
 CLOSERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+#: Silent elements whose content holds no tags: only their own end tag ends them.
+RAW = frozenset("script style noscript textarea title iframe".split())
+
+#: A quote delimits only where a value begins, right after "=".
+_ATTRIBUTES = r"(?:[^>=]++|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*|(?=>|\Z)))*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})(>|\Z)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*|'[^']*|[^\s\"'>]+)", re.I)
 _LETTERS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -78,11 +84,19 @@ def leaf_blocks(page: str) -> list[Block]:
         del open_[depth:]
         inline.clear()
 
-    at, silent = 0, ""
-    for m in _TOKEN.finditer(page):
+    def behind(m: re.Match[str]) -> int:
+        """Where reading goes on behind the start tag of an element without tags inside: at its end tag, or nowhere."""
+        end = _RAW_END[m[2].lower()].search(page, m.end())
+        return end.start() if end else len(page)
+
+    at, silent, next_ = 0, "", 0
+    while m := _TOKEN.search(page, next_):
+        next_ = m.end()
         if silent:
-            if m[1] and m[2] and m[2].lower() == silent:
+            if m[1] and m[2].lower() == silent:
                 silent, at = "", m.end()
+            elif not m[1] and m[2] and m[2].lower() in RAW and silent != "svg" and not m[3].rstrip().endswith("/"):
+                next_ = behind(m)  # inside svg these are elements as any other
             continue
         if m.start() > at:
             text = html.unescape(page[at : m.start()])
@@ -109,6 +123,8 @@ def leaf_blocks(page: str) -> list[Block]:
                 close_block()
                 if not m[3].rstrip().endswith("/"):
                     silent = tag
+                    if tag in RAW:
+                        next_ = behind(m)
         elif tag == "br":
             parts.append(" ")
         elif tag in INLINE:

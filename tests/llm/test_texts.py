@@ -18,6 +18,17 @@ def test_blocks():
     assert {"as:main", "as:box", "in:div"} <= set(got[0].path)
 
 
+def test_scripts_end_at_their_own_end_tag_only():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    for code in ("for(i=0;i<n;i++){f(i)}", "if(a<b){}", "x = 'it'+\"s", "s = 'a<b \"c'", "<!-- hidden", "'</p>' </scripts>", "a</ script>"):
+        for tag in ("script", "style", "textarea", "noscript", "iframe", "title"):
+            assert texts(f"<p>One.</p><{tag} a=b>{code}</{tag.upper()} ><p>Main text.</p>") == ["One.", "Main text."], (tag, code)
+        assert texts(f"<template><script>{code}</script><p>Not seen.</p></template><p>Main text.</p>") == ["Main text."]
+    assert texts("<p title=it's>One.</p><p>Two's.</p><p title='a>b' lang = \"x>y\" q=a\"b>Three.</p>") == ["One.", "Two's.", "Three."]
+    assert texts("<svg><title>x</svg><p>Main text.</p>") == ["Main text."]
+    assert texts("<p>One.</p><script>never ended <p>code</p>") == ["One."]
+
+
 def test_viterbi_and_marginals_against_all_labellings():
     draw = random.Random(3)
     for _ in range(20):
