@@ -294,6 +294,8 @@ def native_feature_importance(spark, sf):
 
 @query()
 def permutation_feature_importance(spark, sf):
+    """Every feature over all test rows, with what its group adds up to."""
     bundle, out, _ = small_model(spark, sf)
-    shuffled = importance.permutation_importance(bundle, out.drop("y_true", "y_pred"), ["PID"], max_rows=1000, repeats=3)
-    return importance.grouped_importance(importance.importance_table(shuffled))
+    shuffled = importance.permutation_importance(bundle, out.drop("y_true", "y_pred"), ["PID"])
+    whole = stage(importance.importance_table(shuffled))
+    return whole.join(importance.grouped_importance(whole), "feature_group")

@@ -71,6 +71,23 @@ def test_importance(fitted):
     assert importance.top_importances(native, 3).count() == 3
 
 
+def test_importance_of_all_rows(spark, fitted, monkeypatch):
+    from registry import modeling
+
+    asked = []
+    real = importance.permutation_importance
+    monkeypatch.setattr(modeling, "small_model", lambda spark, sf: fitted)
+    monkeypatch.setattr(modeling.importance, "permutation_importance", lambda *a, **b: asked.append((len(a), b)) or real(*a, **b))
+    got = {r["feature"]: r for r in modeling.permutation_feature_importance(spark, "").collect()}
+    bundle = fitted[0]
+    assert asked == [(3, {})] and set(got) == set(bundle.input_cols)
+    unused = {r["feature"] for r in importance.native_importance(bundle).collect() if r["importance"] == 0}
+    assert unused and all(got[f]["importance"] == pytest.approx(0, abs=1e-12) for f in unused)
+    for group in {r["feature_group"] for r in got.values()}:
+        own = [r for r in got.values() if r["feature_group"] == group]
+        assert own[0]["group_importance"] == pytest.approx(sum(r["importance_abs"] for r in own))
+
+
 def test_saved_model_scores_requests(spark, table, fitted, tmp_path):
     bundle, scored, before = fitted
     train.save_bundle(bundle, str(tmp_path / "m"))
