@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadastra.operators import addresses, completion, counts, facets, ranges, requests
-from cadastra.plans import evaluate, scoring
+from cadastra.plans import evaluate, scoring, train
 from cadastra.session import stage
 from registry import standins as st
 from registry.cleaning import ADDRESS_PARTS, FACT
 from registry.core import query, rounded, sql_number, table, with_sql
-from registry.modeling import GROUP_ERRORS, SCORED, scored, small_model, split
+from registry.modeling import GROUP_ERRORS, SCORED, scored, split, trained_model
 from registry.series import MODEL_PARTS, model_table_parts
 
 LIMITS = {"LEGAL_TYPE": 50, "ZONING_DISTRICT": 150, "ZONING_CLASSIFICATION": 150, "NEIGHBOURHOOD_CODE": 10}
@@ -283,6 +283,23 @@ def feature_completion(spark, sf):
     return rounded(out.select("request_id", *_WANTED, "LOT", "LOOKUP_YEAR_FALLBACK", "LOOKUP_SUPPORTED_YEAR_RANGE"))
 
 
+def _all_features(spark, sf):
+    """Completed requests: every feature that the model could train on, theirs where they give it."""
+    model = stage(model_table_parts(spark, sf)[0])
+    settings = train.TrainSettings()
+    cat_cols, numeric_cols = counts.column_kinds(model.select(*sorted(counts.feature_columns(model, {settings.target, settings.year, *settings.ids}))))
+    fields = completion.request_fields(scoring_requests(spark, sf), F.lit(2026)).drop("errors", "missing_fields")
+    out = completion.complete_features(fields, model, numeric_cols, cat_cols)
+    out = completion.with_year_range(out, counts.year_bounds(model, "REPORT_YEAR"))
+    return out.select("request_id", "REPORT_YEAR", *cat_cols, *numeric_cols, "LOOKUP_YEAR_FALLBACK", "LOOKUP_SUPPORTED_YEAR_RANGE")
+
+
+@query()
+def feature_completion_all(spark, sf):
+    """``feature_completion`` has the features of its SQL; this has all."""
+    return rounded(_all_features(spark, sf))
+
+
 @query(
     SCORED
     + f""", e as (select * from ({GROUP_ERRORS.replace('round(avg(abs(y_pred - y_true)), 4)', 'avg(abs(y_pred - y_true))')}) where NEIGHBOURHOOD_CODE is not null and NEIGHBOURHOOD_CODE <> '3'),
@@ -314,10 +331,9 @@ def error_band_last_resort(spark, sf):
 
 @query()
 def score_requests(spark, sf):
-    bundle, out, before = small_model(spark, sf)
+    bundle, out, before, lookup = trained_model(spark, sf)
     by_group = evaluate.group_errors(out, "NEIGHBOURHOOD_CODE")
     metrics = evaluate.regression_metrics(out, evaluate.target_cap(before, "CURRENT_LAND_VALUE"))
-    lookup = stage(st.features(spark, sf))
     return scoring.score_requests(scoring_requests(spark, sf), bundle, lookup, by_group, metrics)
 
 

@@ -11,6 +11,7 @@ from cadastra.session import stage
 from registry import standins as st
 from registry.cleaning import FACT, FEATURES
 from registry.core import query, rounded, table, with_sql
+from registry.series import model_table_parts
 
 # Predictions for the error reports: the train mean of the postal area on the log scale.
 SCORED_PARTS = [
@@ -260,10 +261,10 @@ def feature_labels(spark, sf):
     return out.select("p_partkey", "base_feature", "feature_group", "source_dataset", "plain_language_meaning")
 
 
-def small_model(spark, sf, trees: int = 5):
-    """Training reads a written table, as the training job does."""
-    settings = train.TrainSettings(trees=trees, depth=4, step=0.3)
-    return train.train_and_score(stage(st.features(spark, sf)), settings)
+def trained_model(spark, sf):
+    """(bundle, scored test rows, train rows, model table): default settings on the written model table, as the training job does."""
+    model = stage(model_table_parts(spark, sf)[0])
+    return *train.train_and_score(model), model
 
 
 @query(
@@ -275,7 +276,7 @@ select 'model_spark_gbt' as model, 'spark_gbt' as model_backend, 'b' as encoding
 )
 def train_and_evaluate(spark, sf):
     """The result row: what SQL can count as it is, the trained metrics as what must hold of them."""
-    bundle, out, before = small_model(spark, sf)
+    bundle, out, before, _ = trained_model(spark, sf)
     out = stage(out)
     row = train.result_row(bundle, out, before)
     return row.select(
@@ -286,16 +287,23 @@ def train_and_evaluate(spark, sf):
     )
 
 
+@query()
+def trained_metrics(spark, sf):
+    """The whole result row of the trained model; SQL has no trees."""
+    bundle, out, before, _ = trained_model(spark, sf)
+    return train.result_row(bundle, stage(out), before)
+
+
 @query()
 def native_feature_importance(spark, sf):
-    bundle, _, _ = small_model(spark, sf)
+    bundle, _, _, _ = trained_model(spark, sf)
     return importance.explained_importance(importance.importance_table(importance.native_importance(bundle)))
 
 
 @query()
 def permutation_feature_importance(spark, sf):
     """Every feature over all test rows, with what its group adds up to."""
-    bundle, out, _ = small_model(spark, sf)
+    bundle, out, _, _ = trained_model(spark, sf)
     shuffled = importance.permutation_importance(bundle, out.drop("y_true", "y_pred"), ["PID"])
     whole = stage(importance.importance_table(shuffled))
     return whole.join(importance.grouped_importance(whole), "feature_group")

@@ -14,6 +14,7 @@ from cadastra.operators import yearly
 from cadastra.plans import model_table as mt
 from cadastra.sources import census, monthly, sheets
 from cadastra.sources.delimited import read_columns
+from cadastra.session import stage
 from cadastra.sources.workbook import workbook_cells
 from registry import standins as st
 from registry.cleaning import FACT, scratch
@@ -378,6 +379,28 @@ def group_history_strict_years(spark, sf):
     return rounded_history(hist.group_history(orders, "y", "k", "o_totalprice", "cust", keep=keep, strict_year=True))
 
 
+@query(
+    """with s as (select cast(year(o_orderdate) as integer) as y, cast(o_custkey as varchar) as k, quantile_cont(o_totalprice, 0.5) as med, avg(o_totalprice) as mean_,
+ count(*) as n from orders group by 1, 2)
+select s.y, s.k, round(a.med, 4) as cust_prev_year_median_land_value, round(a.mean_ + 1e-7, 4) as cust_prev_year_mean_land_value, a.n as cust_prev_year_property_count,
+ round(a.med / b.med - 1, 6) as cust_prev_year_growth_rate, round(b.med, 4) as cust_prev_2yr_median_land_value, round(b.mean_ + 1e-7, 4) as cust_prev_2yr_mean_land_value,
+ case when (a.med is not null)::int + (b.med is not null)::int + (c.med is not null)::int >= 2
+  then round(list_median([x for x in [a.med, b.med, c.med] if x is not null]), 4) end as cust_prev_3yr_rolling_median_land_value,
+ case when (a.med is not null)::int + (b.med is not null)::int + (c.med is not null)::int >= 2
+  then round(list_avg([x for x in [a.med, b.med, c.med] if x is not null]), 4) end as cust_prev_3yr_rolling_mean_land_value,
+ case when b.med is not null then round((a.med - c.med) / 2, 4) end as cust_prev_3yr_growth_trend,
+ case when (a.med is not null)::int + (b.med is not null)::int + (c.med is not null)::int >= 2
+  then round(list_stddev_samp([x for x in [a.med, b.med, c.med] if x is not null]), 4) end as cust_prev_3yr_value_std
+from s left join s a on s.k = a.k and s.y = a.y + 1 left join s b on s.k = b.k and s.y = b.y + 2 left join s c on s.k = c.k and s.y = c.y + 3"""
+)
+def group_history_strict_years_all(spark, sf):
+    """``group_history_strict_years`` has the columns of its SQL; this has all."""
+    orders = table(spark, sf, "orders").select(
+        F.year("o_orderdate").alias("y"), F.col("o_custkey").cast("string").alias("k"), "o_totalprice"
+    )
+    return rounded_history(hist.group_history(orders, "y", "k", "o_totalprice", "cust", True, strict_year=True))
+
+
 MODEL_PARTS = [
     *st.FEATURE_PARTS,
     ("s0", SUPPLY_SQL),
@@ -422,6 +445,24 @@ def model_table_null_rates(spark, sf):
     return summary.where(F.col("metric").isin(wanted)).select("metric", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+@query()
+def model_table_report(spark, sf):
+    """The whole report; ``model_table_null_rates`` has the rates of its SQL."""
+    out, notes = model_table_parts(spark, sf)
+    return mt.model_table_summary(st.fact(spark, sf), stage(out), notes)
+
+
+@query(
+    MODEL
+    + """select metric, round(avg(v), 6) as value from (unpivot (
+ select cast(columns(* exclude (PID, REPORT_YEAR, NEIGHBOURHOOD_CODE, CURRENT_LAND_VALUE, LEGAL_TYPE, ZONING_DISTRICT, ZONING_CLASSIFICATION, PROPERTY_POSTAL_CODE, YEAR_BUILT,
+  BIG_IMPROVEMENT_YEAR, LAND_COORDINATE, PLAN, LOT, PROPERTY_AGE, YEARS_SINCE_IMPROVEMENT)) is null as integer) from model) on columns(*) into name metric value v) group by 1"""
+)
+def model_table_null_rates_all(spark, sf):
+    report = model_table_report(spark, sf).where(F.col("section") == "missing_rate")
+    return report.select("metric", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 @query(
     """select 'default' as what, 'deferred_default' as status from region union select 'absent', 'deferred_missing_input' from region
  union select 'no_key', 'deferred_no_shared_geo_key' from region union select 'no_features', 'deferred_no_census_features' from region

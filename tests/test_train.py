@@ -76,7 +76,7 @@ def test_importance_of_all_rows(spark, fitted, monkeypatch):
 
     asked = []
     real = importance.permutation_importance
-    monkeypatch.setattr(modeling, "small_model", lambda spark, sf: fitted)
+    monkeypatch.setattr(modeling, "trained_model", lambda spark, sf: (*fitted, None))
     monkeypatch.setattr(modeling.importance, "permutation_importance", lambda *a, **b: asked.append((len(a), b)) or real(*a, **b))
     got = {r["feature"]: r for r in modeling.permutation_feature_importance(spark, "").collect()}
     bundle = fitted[0]
@@ -123,3 +123,19 @@ def test_hardest_groups_and_weighted_error(fitted):
     assert weighted == pytest.approx(evaluate.regression_metrics(scored, 1e9).first()["mae"])
     assert evaluate.hardest_groups(by_group, "NEIGHBOURHOOD_CODE", 2).count() == 2
     assert evaluate.residual_histogram(scored).agg(F.sum("rows")).first()[0] == scored.count()
+
+
+def test_registered_model_is_trained_on_the_whole_table(spark, monkeypatch):
+    from registry import lookups, modeling
+    from registry.series import model_table_parts
+
+    sf = "/root/testdata/sf0.001"
+    asked, looked = [], []
+    monkeypatch.setattr(train, "train_and_score", lambda *a, **b: asked.append((a, b)) or (None, a[0], a[0]))
+    *_, model = modeling.trained_model(spark, sf)
+    assert asked == [((model,), {})] and model.columns == model_table_parts(spark, sf)[0].columns
+    scored = model.withColumns({"y_true": F.col("CURRENT_LAND_VALUE"), "y_pred": F.col("CURRENT_LAND_VALUE")})
+    monkeypatch.setattr(lookups, "trained_model", lambda spark, sf: (None, scored, model, model))
+    monkeypatch.setattr(lookups.scoring, "score_requests", lambda *a: looked.append(a[2]))
+    lookups.score_requests(spark, sf)
+    assert looked == [model]
