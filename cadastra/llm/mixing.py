@@ -55,7 +55,8 @@ def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> n
     """How many of each length to take, so that their sum comes as near to ``budget`` from below as found.
 
     The rest that the knapsack gets is at most ``KNAPSACK_WORDS`` if there are
-    lengths to fill it with; over it the result is the best there is.
+    lengths to fill it with; over it the result is the best there is. No free
+    document that still fits is left out.
     """
     length, count = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((length * count).sum())
@@ -69,7 +70,14 @@ def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> n
         more = min(int(count[i] - taken[i]), (rest - KNAPSACK_WORDS // 2) // max(1, int(length[i])))
         taken[i] += max(0, more)
         rest -= max(0, more) * int(length[i])
-    return taken + _knapsack(length, count - taken, min(rest, max(KNAPSACK_WORDS, 0)))
+    if rest > KNAPSACK_WORDS:
+        # What is still free is longer than rest - KNAPSACK_WORDS // 2, so one document fits at most: the longest that does.
+        fits = np.flatnonzero((taken < count) & (length <= rest))
+        if len(fits):
+            longest = fits[np.argmax(length[fits])]
+            taken[longest] += 1
+            rest -= int(length[longest])
+    return taken + _knapsack(length, count - taken, min(rest, KNAPSACK_WORDS))
 
 
 def _knapsack(length: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:

@@ -205,6 +205,19 @@ def test_large_budgets_are_met():
         assert 0 <= budget - int((taken * np.array(lengths)).sum()) <= (0 if budget <= total // 2 or budget == total else 5000)
 
 
+def test_long_documents_fill_the_budget():
+    assert fill_budget([45_000], [3], 94_500).tolist() == [2]
+    draw = random.Random(11)
+    for _ in range(300):
+        lengths = draw.sample(range(10_001, 90_000), draw.randint(1, 6))
+        counts = [draw.randint(1, 4) for _ in lengths]
+        budget = draw.randint(0, sum(a * b for a, b in zip(lengths, counts)))
+        taken = fill_budget(lengths, counts, budget)
+        rest = budget - sum(int(t) * n for t, n in zip(taken, lengths))
+        assert rest >= 0 and all(0 <= t <= c for t, c in zip(taken, counts))
+        assert all(n > rest for n, t, c in zip(lengths, taken, counts) if t < c)
+
+
 def test_mix_of_sources(documents):
     draw = random.Random(9)
     rows = []
