@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadastra.llm.chat import format_records, message_records, read_back
-from cadastra.llm.core import query, table
+from cadastra.llm.core import query, stage, table
 from cadastra.llm.html_text import extract
 from cadastra.llm.sentencepieces import encode
+from cadastra.llm.token_files import encode_blocks, read_documents
 
 
 @query("op1_sentencepiece")
@@ -56,3 +57,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the ids of every document are in the files, and their checksum, read back from the files."""
+    blocks = encode_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_documents(stage(blocks), ["ids_crc32"])
