@@ -9,9 +9,12 @@ a time. A block ends with the document that fills it; documents are never cut.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,66 +27,109 @@ from cadastra.llm.packing import Block, encode_block
 BLOCK_IDS = 1 << 18
 #: Texts encoded together.
 CHUNK_ROWS = 256
-#: A task forgets its encoded pieces beyond so many pieces or ids.
-KEPT_PIECES = 300_000
-KEPT_IDS = 4_000_000
+#: A worker forgets its encoded parts beyond so many parts or ids.
+KEPT_PARTS = 1_200_000
+KEPT_IDS = 8_000_000
+#: New parts that the library encodes in one call.
+LEARNT_PARTS = 10_000
 
 BLOCKS = "part int, block int, first_id long, n_ids long, docs array<long>, data binary"
 
 _CARE = re.compile(r"\s (?!\S)")
 _CUT = re.compile(r"(?<=\S) | (?=\S)")
 
+# The letters, digits and white space of ASCII and of the Latin blocks, where the classes of all
+# versions of Unicode agree, and the pattern of byte-level merges on them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SPACES = "\\t-\\r "
+_PLAIN = re.compile(f"[{_LETTERS}!-~{_SPACES}]*")
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^{_LETTERS}0-9{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
 
 class PieceEncoder:
-    """The ids of the library for byte-level merges, each different piece of text encoded once.
+    """The ids of the library for byte-level merges, each different part of a text encoded once.
 
-    The library parts a text before it merges, and no part goes on over a space
-    that has a character other than white space before or after it. So a text is
-    cut before such spaces, and the ids of its pieces are the text's ids.
+    Texts of Latin letters, digits and signs are parted by the library's pattern
+    here, and new parts are merged by the library's model. Other texts are first
+    cut at spaces: no part goes on over a space that has a character other than
+    white space before or after it. Pieces with other characters then go to the
+    library whole.
     """
 
     def __init__(self, tokenizer: str):
-        from tokenizers import Tokenizer
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark deals the work out
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_str(tokenizer)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = Tokenizer(self.library.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Split("\n", "removed")  # no part has a line end: its byte has another letter
+        self.letters = _byte_letters()
+        self.widths = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
         self.forget()
 
     def forget(self) -> None:
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.known: dict[str, int] = {}
         self.ids = np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def _learn(self, known: dict[str, int], pieces: list[str], before: str) -> None:
-        new = list({p for p in pieces if p not in known})
-        if not new:
-            return
-        found = [x.ids for x in self.library.encode_batch([before + p for p in new], add_special_tokens=False)]
-        known.update(zip(new, range(len(self.starts) - 1, len(self.starts) - 1 + len(new))))
-        self.ids = np.concatenate([self.ids, *[np.array(x, np.uint32) for x in found]])
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(x) for x in found], dtype=np.int64)))
+    def _add(self, parts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+        self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts, dtype=np.int64)))
+
+    def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if _PLAIN.fullmatch(p)]
+        if plain:
+            spelt = [p.encode().decode("latin-1").translate(self.letters) for p in plain]
+            ids = np.array(self.merges.encode("\n".join(spelt), add_special_tokens=False).ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.widths[ids]), np.cumsum([len(p) for p in spelt])) + 1
+            self._add(plain, ids, np.diff(ends, prepend=0))
+        other = [p for p in parts if not _PLAIN.fullmatch(p)]
+        if other:
+            found = [x.ids for x in self.library.encode_batch(other, add_special_tokens=False)]
+            self._add(other, np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64))
+
+    def _parts(self, text: str) -> list[str]:
+        if _PLAIN.fullmatch(text):
+            return _PARTS.findall(text)
+        first, *later = _CUT.split(text) if _CARE.search(text) else text.split(" ")
+        pieces = [first, *[" " + p for p in later]]
+        return [part for p in pieces for part in (_PARTS.findall(p) if _PLAIN.fullmatch(p) else [p])]
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text), as encode_batch without special tokens gives them."""
-        if len(self.starts) > KEPT_PIECES or len(self.ids) > KEPT_IDS:
+        if len(self.known) > KEPT_PARTS or len(self.ids) > KEPT_IDS:
             self.forget()
-        cut = [_CUT.split(t) if _CARE.search(t) else t.split(" ") for t in texts]
-        firsts = [p[0] for p in cut]
-        later = [piece for pieces in cut for piece in pieces[1:]]
-        self._learn(self.first, firsts, "")
-        self._learn(self.later, later, " ")
-        counts = np.array([len(p) for p in cut], np.int64)
-        at = np.empty(len(firsts) + len(later), np.int64)
-        begins = np.zeros(len(at), bool)
-        begins[np.cumsum(counts) - counts] = True
-        at[begins] = np.fromiter(map(self.first.__getitem__, firsts), np.int64, len(firsts))
-        at[~begins] = np.fromiter(map(self.later.__getitem__, later), np.int64, len(later))
+        parts: list[str] = []
+        ends = []
+        for text in texts:
+            parts += self._parts(text)
+            ends.append(len(parts))
+        at = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            missing = list({parts[i] for i in new})
+            for start in range(0, len(missing), LEARNT_PARTS):
+                self._learn(missing[start : start + LEARNT_PARTS])
+            at[new] = [self.known[parts[i]] for i in new]
         start, length = self.starts[at], self.starts[at + 1] - self.starts[at]
         stop = np.cumsum(length)
         place = np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(start - (stop - length), length)
-        ends = np.concatenate(([0], stop))[np.cumsum(counts)]
-        return self.ids[place], np.diff(ends, prepend=0)
+        return self.ids[place], np.diff(np.concatenate(([0], stop))[np.array(ends, np.int64)], prepend=0)
+
+
+@lru_cache(maxsize=1)
+def piece_encoder(tokenizer: str) -> PieceEncoder:
+    """One for each worker, which tasks after one another use."""
+    return PieceEncoder(tokenizer)
 
 
 def _block(part: int, number: int, first: int, docs: list, ids: list[np.ndarray], lengths: list[int]) -> list:
@@ -110,7 +156,7 @@ def encode_blocks(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col:
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, number, before = PieceEncoder(tokenizer.value), TaskContext.get().partitionId(), 0, 0
+        own, part, number, before = piece_encoder(tokenizer.value), TaskContext.get().partitionId(), 0, 0
         names, ids, lengths = [], [], []
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(pa.int64())), ("data", pa.binary())])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from cadastra.llm import packing, token_files
 from cadastra.llm.packing import Block, encode_block
-from cadastra.llm.token_files import PieceEncoder, encode_blocks, read_documents
+from cadastra.llm.token_files import PieceEncoder, encode_blocks, piece_encoder, read_documents
 from cadastra.session import stage
 from hypothesis import given, settings, strategies as st
 from llm_odd import ODD
@@ -57,15 +57,15 @@ def test_words_are_as_narrow_as_values_allow():
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*" \n\t\r\x1c\x85\xa0\u2003\u200baZé9'.!\U0001f642中", "'s", "  ", "<|endoftext|>"]), max_size=40).map("".join), max_size=4))
 def test_pieces_give_the_ids_of_whole_texts(tokenizer, texts):
-    encoder = PieceEncoder(tokenizer)
-    for _ in range(2):  # the second time all pieces are known
+    encoder = piece_encoder(tokenizer)
+    for _ in range(2):  # the second time all parts are known
         ids, counts = encoder.encode(texts)
         assert ids.tolist() == [i for x in expected(encoder, texts) for i in x]
         assert counts.tolist() == [len(x) for x in expected(encoder, texts)]
 
 
 def test_forgetting_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(token_files, "KEPT_PIECES", 3)
+    monkeypatch.setattr(token_files, "KEPT_PARTS", 3)
     encoder = PieceEncoder(tokenizer)
     for texts in (["a b c d e f", ""], ["b c", " x"], ["a b c d e f"]):
         assert encoder.encode(texts)[0].tolist() == [i for x in expected(encoder, texts) for i in x]
