@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cadastra.llm.chat import format_records, message_records, read_back
 from cadastra.llm.core import query, stage, table
 from cadastra.llm.html_text import extract
+from cadastra.llm.runs import find_runs
 from cadastra.llm.sentencepieces import encode
 from cadastra.llm.token_files import encode_blocks, read_documents
 
@@ -64,3 +65,27 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the ids of every document are in the files, and their checksum, read back from the files."""
     blocks = encode_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_documents(stage(blocks), ["ids_crc32"])
+
+
+def with_period(docs: DataFrame) -> DataFrame:
+    """Documents in which, for a tenth of the ids, the words from one on repeat with a period that follows from the id."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    drawn = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words").cast("long"))
+    drawn = drawn.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    repeated = F.concat_ws(" ", F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("words", at(i).cast("int"))))
+    return drawn.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of every document's words, and digests of all runs and of the words without repeats."""
+    found = find_runs(with_period(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    run = found.withColumns({"longest": longest, "told": told})
+    return run.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"), F.sha2("told", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
