@@ -5,25 +5,33 @@ year. Rows whose number range holds the number are narrowed to the exact
 street, else to streets that contain the text, else kept; then to the exact
 postal code, else to its first three characters, else kept; the first few are
 returned. All requests are resolved at once and by equality joins only: number
-ranges are cut into aligned blocks, and for every block, street and postal area
-only the best few rows are kept before requests meet them.
+ranges are cut into aligned blocks, and a stored index keeps the first few rows
+of every block, street and postal area. Batches of requests read the index by its
+buckets; the addresses themselves are read once, when it is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+import uuid
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cadastra.functions.civic import civic_int, civic_number, display_address, range_high, range_low
 from cadastra.functions.numbers import number_of
 from cadastra.functions.postal import lookup_fsa, lookup_postal
 from cadastra.functions.text import street_name, strip_ws
 from cadastra.operators.checks import require_columns
-from cadastra.operators.facets import ALL_YEARS, year_scope
+from cadastra.operators.facets import ALL_YEARS
 from cadastra.operators.ranges import number_blocks, range_blocks, top_level
-from cadastra.session import stage
+from cadastra.operators.requests import errors
+from cadastra.session import shared_folder, stage
 from cadastra.sources.delimited import optional_column
 
 DEFAULT_LIMIT = 10
+#: Candidates that a request may ask for.
+MAX_LIMIT = 20
 
 # Columns of the address source, and those that tell candidates apart.
 ADDRESS_REQUIRED = [
@@ -105,9 +113,9 @@ def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text:
             F.flatten(F.transform(sizes, lambda k: F.transform(starts(k), lambda i: F.substr(F.col(col), i, k))))
         )
 
-    indexed = texts.select(*on, text).distinct().where(F.length(text) > 0).withColumn("_gram", F.explode(grams(text, lengths)))
-    indexed = stage(indexed)
-    frequency = indexed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
+    places = texts.select(*on, text).distinct().where(F.length(text) > 0)
+    spelt = stage(places.select(text).distinct().withColumn("_gram", F.explode(grams(text, lengths))))
+    frequency = spelt.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     asked = patterns.select(*on, pattern).distinct().where(F.length(pattern) > 0)
     longest = F.array(F.least(F.length(pattern), F.lit(3)))
     split = asked.select(pattern).distinct().withColumn("_gram", F.explode(grams(pattern, longest)))
@@ -117,6 +125,9 @@ def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text:
         .groupBy(pattern)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
     )
+    rarest = stage(rarest)
+    # Texts are listed in their places under the grams that some pattern looks up only.
+    indexed = places.join(spelt.join(rarest.select("_gram").distinct(), "_gram", "left_semi"), text)
     pairs = asked.join(rarest, pattern).join(indexed, [*on, "_gram"])
     return pairs.where(F.contains(F.col(text), F.col(pattern))).select(*on, pattern, text)
 
@@ -127,18 +138,31 @@ def _postal_scopes(postal: Column, fsa: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("scope"), a.alias("area")) for i, a in enumerate(areas)])
 
 
-def resolve_addresses(
-    requests: DataFrame,
-    addresses: DataFrame,
-    default_year: Column,
-    request_id: str = "request_id",
-) -> DataFrame:
-    """Candidates per request: rank, the match modes, and the candidate columns.
+@dataclass
+class AddressIndex:
+    """A stored index: candidate ``rows`` by ROW_ID, the first rows of every place, and the streets of every node.
 
-    A request gets as many as its ``limit`` (``DEFAULT_LIMIT`` without one); no
-    place keeps more rows than the largest limit asked for. Requests without a
-    candidate give no row; see ``lookup_outcome``.
+    A node is a year and an aligned block of house numbers; a place is a node
+    with a street (or any) and a postal area (or any). It keeps as many row ids
+    as a request may ask for.
     """
+
+    rows: DataFrame
+    places: DataFrame
+    streets: DataFrame
+    years: list[int]
+    top: int
+    max_limit: int
+
+
+NODE = ["_year", "level", "block"]
+PLACE = [*NODE, "any_street", "street", "scope", "area"]
+#: Tables of the index and the columns they are bucketed by.
+BUCKETS = {"rows": ["ROW_ID"], "places": PLACE, "streets": NODE}
+
+
+def _candidate_rows(addresses: DataFrame) -> DataFrame:
+    """Rows with a number range; those that differ in their keys only share the smallest ROW_ID."""
     keys = ["CIVIC_LOW", "CIVIC_HIGH", "STREET_NAME_NORMALIZED", "POSTAL_CODE_NORMALIZED", "POSTAL_FSA"]
     usable = addresses.where(F.col("CIVIC_LOW").isNotNull())
     if "ROW_ID" in addresses.columns:
@@ -146,46 +170,141 @@ def resolve_addresses(
     else:
         rows = usable.select(*CANDIDATE_COLUMNS, *keys).distinct().orderBy(*CANDIDATE_COLUMNS, *keys)
         rows = rows.withColumn("ROW_ID", F.monotonically_increasing_id())
-    # Rows that differ in their keys only are one candidate.
-    rows = rows.withColumn("ROW_ID", F.min("ROW_ID").over(Window.partitionBy(*CANDIDATE_COLUMNS)))
-    rows = stage(rows)
-    top = top_level(rows, "CIVIC_LOW", "CIVIC_HIGH")
+    return stage(rows.withColumn("ROW_ID", F.min("ROW_ID").over(Window.partitionBy(*CANDIDATE_COLUMNS))))
+
+
+def _places(rows: DataFrame, max_limit: int) -> DataFrame:
+    """The first ``max_limit`` row ids of every place; tasks drop the others before anything is shuffled."""
+    placed = range_blocks(rows.withColumn("_year", F.col("REPORT_YEAR")), "CIVIC_LOW", "CIVIC_HIGH")
+    streets = F.array(F.struct(F.lit(False).alias("any_street"), F.col("STREET_NAME_NORMALIZED").alias("street")),
+                      F.struct(F.lit(True).alias("any_street"), F.lit("").alias("street")))
+    placed = placed.withColumn("_s", F.explode(streets)).select("*", "_s.*").drop("_s")
+    scopes = _postal_scopes(F.col("POSTAL_CODE_NORMALIZED"), F.col("POSTAL_FSA"))
+    placed = placed.withColumn("_p", F.explode(scopes)).select("*", "_p.*").drop("_p")
+    rank = F.dense_rank().over(Window.partitionBy(*PLACE).orderBy("ROW_ID"))  # a row that lies twice in a place has one rank
+    first = placed.select(*PLACE, "ROW_ID").withColumn("_at", rank).where(F.col("_at") <= max_limit)
+    return first.groupBy(*PLACE).agg(F.sort_array(F.collect_set("ROW_ID")).alias("ids"))
+
+
+def _table_name(path: str) -> str:
+    return "addresses_" + hashlib.md5(path.encode()).hexdigest()
+
+
+def write_address_index(addresses: DataFrame, path: str, max_limit: int = MAX_LIMIT) -> None:
+    """Build and store the index, bucketed as ``BUCKETS`` says and sorted in the buckets.
+
+    There are as many buckets as shuffle partitions, so that the rows of a bucket
+    are in one task already when they are written.
+    """
+    spark = addresses.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _candidate_rows(addresses)
+    years = sorted(r[0] for r in addresses.select(F.col("REPORT_YEAR").cast("int")).distinct().collect() if r[0] is not None)
+    blocks = range_blocks(rows.select(F.col("REPORT_YEAR").alias("_year"), F.col("STREET_NAME_NORMALIZED").alias("street"), "CIVIC_LOW", "CIVIC_HIGH"), "CIVIC_LOW", "CIVIC_HIGH")
+    tables = {
+        "rows": rows.select("ROW_ID", *CANDIDATE_COLUMNS).groupBy("ROW_ID").agg(*[F.any_value(c).alias(c) for c in CANDIDATE_COLUMNS]),
+        "places": _places(rows, max_limit),
+        "streets": blocks.select(*NODE, "street").distinct().repartition(buckets, *NODE),
+    }
+    schemas = {}
+    for name, df in tables.items():
+        table = _table_name(f"{path}/{name}")
+        spark.sql(f"drop table if exists {table}")
+        df.write.mode("overwrite").bucketBy(buckets, *BUCKETS[name]).sortBy(*BUCKETS[name]).option("path", f"{path}/{name}").saveAsTable(table)
+        schemas[name] = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    facts = {"years": years, "top": top_level(rows, "CIVIC_LOW", "CIVIC_HIGH"), "max_limit": max_limit, "buckets": buckets, "schemas": schemas}
+    spark.createDataFrame([facts], FACTS).write.mode("overwrite").json(f"{path}/facts")
+
+
+FACTS = "years array<int>, top int, max_limit int, buckets int, schemas map<string, string>"
+
 
-    asked = year_scope(requests, addresses, "REPORT_YEAR", F.coalesce(F.col("report_year").cast("int"), default_year))
+def open_address_index(spark: SparkSession, path: str) -> AddressIndex:
+    """The index of an earlier run, its buckets known to the optimizer in any session."""
+    facts = spark.read.schema(FACTS).json(f"{path}/facts").first()
+    for name, keys in BUCKETS.items():
+        by = ", ".join(keys)
+        spark.sql(
+            f"create table if not exists {_table_name(f'{path}/{name}')} ({facts['schemas'][name]}) using parquet "
+            f"clustered by ({by}) sorted by ({by}) into {facts['buckets']} buckets location '{path}/{name}'"
+        )
+    tables = {name: spark.table(_table_name(f"{path}/{name}")) for name in BUCKETS}
+    return AddressIndex(**tables, years=list(facts["years"]), top=facts["top"], max_limit=facts["max_limit"])
+
+
+def address_index(addresses: DataFrame, max_limit: int = MAX_LIMIT) -> AddressIndex:
+    """An index among the stages, for a table that is asked once."""
+    spark = addresses.sparkSession
+    path = f"{shared_folder(spark)}/address-index-{uuid.uuid4().hex}"
+    write_address_index(addresses, path, max_limit)
+    return open_address_index(spark, path)
+
+
+def _of_years(index: AddressIndex, wanted: DataFrame) -> DataFrame:
+    """``wanted`` with the years to look in: its own, or all of the index; the asked one stays as ``_asked``."""
+    every = F.array(*[F.lit(y) for y in index.years]).cast("array<int>")
+    years = F.when(F.col("_asked") == ALL_YEARS, every).otherwise(F.array("_asked"))
+    return wanted.withColumnRenamed("_year", "_asked").withColumn("_year", F.explode(years))
+
+
+def asked_streets(index: AddressIndex, nodes: DataFrame) -> DataFrame:
+    """The streets of the asked nodes; the index is read by its buckets, only the nodes move."""
+    held = index.streets.join(_of_years(index, nodes), NODE)
+    return held.select(F.col("_asked").alias("_year"), "level", "block", "street").distinct()
+
+
+def asked_places(index: AddressIndex, places: DataFrame) -> DataFrame:
+    """The row ids of the asked places; a place of all years has the first ones of every year's."""
+    held = index.places.join(_of_years(index, places), PLACE).withColumn("_year", F.col("_asked"))
+    own = held.where(F.col("_year") != ALL_YEARS).select(*PLACE, "ids")
+    merged = held.where(F.col("_year") == ALL_YEARS).groupBy(*PLACE).agg(F.flatten(F.collect_list("ids")).alias("ids"))  # one list a year
+    return own.unionByName(merged.withColumn("ids", F.slice(F.sort_array("ids"), 1, index.max_limit)))
+
+
+def limit_errors(requests: DataFrame, max_limit: int = MAX_LIMIT, request_id: str = "request_id") -> DataFrame:
+    """Requests that ask for fewer than one or more than ``max_limit`` candidates, with the reason."""
+    bad = ~F.coalesce(F.col("limit").cast("int"), F.lit(DEFAULT_LIMIT)).between(1, max_limit)
+    return requests.select(request_id, errors({"limit_out_of_range": bad}).alias("errors")).where(F.size("errors") > 0)
+
+
+def resolve_addresses(
+    requests: DataFrame,
+    addresses: DataFrame | AddressIndex,
+    default_year: Column,
+    request_id: str = "request_id",
+    max_limit: int = MAX_LIMIT,
+) -> DataFrame:
+    """Candidates per request: rank, the match modes, and the candidate columns.
+
+    ``addresses`` is a stored index, or a table that one is made of first, with
+    ``max_limit`` rows for each place. A request gets as many candidates as its
+    ``limit`` (``DEFAULT_LIMIT`` without one). One whose limit is out of range is
+    refused: it gives no row here but one in ``limit_errors``. Requests without
+    a candidate give no row; see ``lookup_outcome``.
+    """
+    index = addresses if isinstance(addresses, AddressIndex) else address_index(addresses, max_limit)
+    wanted_year = F.coalesce(F.col("report_year").cast("int"), default_year).cast("int")
+    asked = requests.withColumn("_asked_year", wanted_year).withColumn("_limit", F.coalesce(F.col("limit").cast("int"), F.lit(DEFAULT_LIMIT)))
     asked = stage(
-        asked.select(
+        asked.where(F.col("_limit").between(1, index.max_limit)).select(
             request_id,
-            F.coalesce(F.col("limit").cast("int"), F.lit(DEFAULT_LIMIT)).alias("_limit"),
+            "_limit",
             "_asked_year",
-            "_year",
+            F.when(F.col("_asked_year").isin(index.years), F.col("_asked_year")).otherwise(F.lit(ALL_YEARS)).alias("_year"),
             civic_int("street_number").alias("_number"),
             street_name("street_name").alias("_street"),
             lookup_postal("property_postal_code").alias("_postal"),
             lookup_fsa("property_postal_code").alias("_fsa"),
         )
     )
-    max_candidates = asked.agg(F.max("_limit")).first()[0] or 0
     query = ["_year", "_number", "_street", "_postal", "_fsa"]
     queries = asked.where(F.col("_number").isNotNull()).select(*query).distinct()
-    spots = stage(number_blocks(queries.select("_year", "_number").distinct(), "_number", top))
-
-    # Rows per asked block, once under their street and once under any street.
-    node = ["_year", "level", "block"]
-    narrow = rows.select("ROW_ID", F.explode(F.array("REPORT_YEAR", F.lit(ALL_YEARS))).alias("_year"), *keys)
-    placed = range_blocks(narrow, "CIVIC_LOW", "CIVIC_HIGH")
-    placed = placed.join(spots.select(*node).distinct(), node, "left_semi")
-    streets = F.array(F.struct(F.lit(False).alias("any_street"), F.col("STREET_NAME_NORMALIZED").alias("street")),
-                      F.struct(F.lit(True).alias("any_street"), F.lit("").alias("street")))
-    placed = placed.withColumn("_s", F.explode(streets)).select("*", "_s.*").drop("_s")
-    scopes = _postal_scopes(F.col("POSTAL_CODE_NORMALIZED"), F.col("POSTAL_FSA"))
-    placed = placed.withColumn("_p", F.explode(scopes)).select("*", "_p.*").drop("_p")
-    place = [*node, "any_street", "street", "scope", "area"]
-    first = Window.partitionBy(*place).orderBy("ROW_ID")
-    best = placed.select(*place, "ROW_ID").distinct().withColumn("_at", F.row_number().over(first))
-    best = stage(best.where(F.col("_at") <= max_candidates).drop("_at"))
+    node, place = NODE, PLACE
+    spots = number_blocks(queries.select("_year", "_number").distinct(), "_number", index.top)
+    known = stage(asked_streets(index, spots.select(*node).distinct()))
+    spots = spots.join(known.select(*node).distinct(), node, "left_semi")  # blocks without rows end here
 
     # The streets a query may use: exact, containing, any.
-    known = stage(best.where(~F.col("any_street")).select(*node, "street").distinct())
     nodes = stage(queries.join(spots, ["_year", "_number"]))
     exact = nodes.withColumn("street", F.col("_street")).join(known, [*node, "street"], "left_semi")
     exact = stage(exact.select(*query, "level", "block", "street", F.lit(0).alias("_tier")))
@@ -201,13 +320,13 @@ def resolve_addresses(
     ways = ways.withColumn("_p", F.explode(areas)).select("*", "_p.*").drop("_p")
     ways = ways.where((F.col("scope") == 2) | (F.col("area") != ""))
 
-    # The best postal area is settled on the places alone, before their rows are fetched.
+    # The most precise postal area that holds rows, and the first of them.
+    best = stage(asked_places(index, ways.select(*place).distinct()))
     per_query = Window.partitionBy(*query)
-    held = ways.join(best.select(*place).distinct(), place, "left_semi")
-    held = held.withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
-    hits = held.join(best, place)
+    held = ways.join(best, place).withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
+    hits = held.select(*query, "_tier", "scope", F.explode("ids").alias("ROW_ID"))
     ranked = hits.withColumn("candidate_id", F.row_number().over(per_query.orderBy("ROW_ID")))
-    ranked = ranked.where(F.col("candidate_id") <= max_candidates)
+    ranked = ranked.where(F.col("candidate_id") <= index.max_limit)
 
     # An empty text is inside every street, so it keeps all rows as a "contains" match.
     mode = F.when(F.col("_tier") == 0, "exact").when((F.col("_tier") == 1) | (F.col("_street") == ""), "contains").otherwise("none")
@@ -221,7 +340,7 @@ def resolve_addresses(
         )
     )
     answered = asked.join(ranked, query).where(F.col("candidate_id") <= F.col("_limit"))
-    answered = answered.join(rows.select("ROW_ID", *CANDIDATE_COLUMNS).distinct(), "ROW_ID")
+    answered = index.rows.join(answered, "ROW_ID")
     return answered.select(
         request_id,
         "candidate_id",

@@ -48,10 +48,12 @@ def _before(part: list[str], order: str) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], count: str | None = None
+    df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float], count: str | None = None, weight: str | None = None
 ) -> DataFrame:
     """One row per group with linearly interpolated quantiles ``{name: p}``.
 
+    With ``weight``, a row stands for that many equal values.
+
     Null values are ignored; a group of nulls only gives no row. A quantile whose
     rank is a whole number is that value, infinite ones too. ``count`` names an
     optional column with the number of values.
@@ -62,10 +64,10 @@ def exact_quantiles(
     keyed = [F.col(k).alias(i) for k, i in zip(keys, ids)] or [F.lit(0).alias("_k0")]
 
     counted = (
-        df.select(*keyed, value.cast("double").alias("_v"))
+        df.select(*keyed, value.cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
         .where(F.col("_v").isNotNull())
         .groupBy(*ids, "_v")
-        .agg(F.count(F.lit(1)).alias("_size"))
+        .agg(F.sum("_w").alias("_size"))
     )
     placed = stage(counted.orderBy(*ids, "_v").withColumn("_part", F.spark_partition_id()))
     # One row for each group and sort partition it lies in.

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadastra.operators import addresses, facets
+from cadastra.operators import addresses, counts, facets, levels
 from cadastra.operators.yearly import yearly_from_monthly, yearly_passthrough
 from cadastra.plans import evaluate, importance, scoring, train
 from cadastra.plans.clean_fact import clean_fact, clean_summary, read_extract
@@ -124,13 +124,32 @@ def train_model(
     train.save_bundle(bundle, model)
 
 
-def score(spark: SparkSession, requests: str, model: str, lookup: str, reports: str, out: str, refused: str) -> None:
+def completion_levels(spark: SparkSession, table: str, out: str, added_to: str | None = None) -> None:
+    """Value counts of a model table and the completion values of all levels.
+
+    With ``added_to``, the folder of an earlier run, ``table`` holds new rows
+    only and the earlier counts are kept.
+    """
+    lookup = spark.read.parquet(table)
+    settings = train.TrainSettings()
+    features = counts.feature_columns(lookup, {settings.target, settings.year, *settings.ids})
+    categorical, numeric = counts.column_kinds(lookup.select(*sorted(features)))
+    made = levels.level_counts(lookup, numeric, categorical, YEAR)
+    if added_to:
+        made = levels.added_counts(spark.read.parquet(f"{added_to}/counts"), made)
+    write_table(made, f"{out}/counts")
+    write_table(levels.level_values(spark.read.parquet(f"{out}/counts")), f"{out}/values", ["level"])
+
+
+def score(spark: SparkSession, requests: str, model: str, lookup: str, reports: str, out: str, refused: str, completion: str | None = None) -> None:
+    """``completion`` names the folder of ``completion_levels``; without it the lookup is counted for this batch."""
     bundle = train.load_bundle(spark, model)
+    values = spark.read.parquet(f"{completion}/values") if completion else None
     asked = spark.read.parquet(requests)
     errors = read_optional_table(spark, f"{reports}/model_neighbourhood_error", ERROR_SCHEMA)
     metrics_path = f"{reports}/model_metrics"
     metrics = read_text_table(spark, metrics_path) if path_exists(spark, metrics_path) else errors.select()
-    write_table(scoring.score_requests(asked, bundle, spark.read.parquet(lookup), errors, metrics), out)
+    write_table(scoring.score_requests(asked, bundle, spark.read.parquet(lookup), errors, metrics, level_values=values), out)
     write_table(scoring.refused_requests(asked, bundle.default_year), refused)
 
 
@@ -141,11 +160,19 @@ def address_table(spark: SparkSession, extract: str, out: str) -> None:
     write_table(addresses.address_table(raw), out)
 
 
-def address_lookup(spark: SparkSession, requests: str, addresses_table: str, default_year: str, out: str, outcome: str) -> None:
-    """Candidates of a table of requests, and one row for each request on how it went."""
+def address_index(spark: SparkSession, addresses_table: str, out: str, max_limit: str = str(addresses.MAX_LIMIT)) -> None:
+    """The stored index that batches of address requests are answered from."""
+    addresses.write_address_index(spark.read.parquet(addresses_table), out, int(max_limit))
+
+
+def address_lookup(spark: SparkSession, requests: str, index: str, default_year: str, out: str, outcome: str, refused: str | None = None) -> None:
+    """Candidates of a table of requests from the stored index, and one row for each request on how it went."""
     asked = spark.read.parquet(requests)
-    found = stage(addresses.resolve_addresses(asked, spark.read.parquet(addresses_table), F.lit(int(default_year))))
+    stored = addresses.open_address_index(spark, index)
+    found = stage(addresses.resolve_addresses(asked, stored, F.lit(int(default_year))))
     write_table(found, out)
+    if refused:
+        write_table(addresses.limit_errors(asked, stored.max_limit), refused)
     write_table(addresses.lookup_outcome(asked, found), outcome)
 
 
@@ -161,7 +188,7 @@ def options(spark: SparkSession, requests: str, lookup: str, default_year: str,
 
 STEPS: dict[str, Callable[..., None]] = {
     f.__name__: f
-    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, train_model, score, address_table, address_lookup, options)
+    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, train_model, completion_levels, score, address_table, address_index, address_lookup, options)
 }
 
 

@@ -11,7 +11,7 @@ from registry import standins as st
 from registry.cleaning import ADDRESS_PARTS, FACT
 from registry.core import query, rounded, sql_number, table, with_sql
 from registry.modeling import GROUP_ERRORS, SCORED, scored, split, trained_model
-from registry.series import MODEL_PARTS, model_table_parts
+from registry.series import MODEL_PARTS, PLAIN_HISTORY, PLAIN_MODEL_PARTS, model_table_parts
 
 LIMITS = {"LEGAL_TYPE": 50, "ZONING_DISTRICT": 150, "ZONING_CLASSIFICATION": 150, "NEIGHBOURHOOD_CODE": 10}
 
@@ -122,7 +122,7 @@ from single qualify candidate_id <= "limit") """
 @query(ADDRESS_SQL + "select * from answer")
 def address_resolution(spark, sf):
     table_ = stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id"))
-    return addresses.resolve_addresses(request_table(spark, sf), table_, F.lit(2026))
+    return addresses.resolve_addresses(request_table(spark, sf), table_, F.lit(2026), max_limit=50)
 
 
 @query(
@@ -134,7 +134,22 @@ def address_outcome(spark, sf):
     """Number of candidates of every request, and whether one is chosen without asking."""
     table_ = stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id"))
     asked = request_table(spark, sf)
-    return addresses.lookup_outcome(asked, addresses.resolve_addresses(asked, table_, F.lit(2026)))
+    return addresses.lookup_outcome(asked, addresses.resolve_addresses(asked, table_, F.lit(2026), max_limit=50))
+
+
+@query(
+    ADDRESS_SQL
+    + """select request_id, case when "limit" > 20 then 'limit_out_of_range' else '' end as error, count(answer.request_id) filter ("limit" <= 20) as candidates
+from request left join answer using (request_id) group by request_id, "limit\""""
+)
+def address_limits(spark, sf):
+    """Requests for more than 20 candidates are refused; the others are answered from the index."""
+    index = addresses.address_index(stage(addresses.address_table(st.raw_addresses(spark, sf), "row_id")))
+    asked = request_table(spark, sf)
+    found = addresses.lookup_outcome(asked, addresses.resolve_addresses(asked, index, F.lit(2026)))
+    refused = addresses.limit_errors(asked, index.max_limit)
+    out = found.join(refused, "request_id", "left")
+    return out.select("request_id", F.coalesce(F.array_join("errors", ","), F.lit("")).alias("error"), F.col("match_count").alias("candidates"))
 
 
 @query(
@@ -294,10 +309,45 @@ def _all_features(spark, sf):
     return out.select("request_id", "REPORT_YEAR", *cat_cols, *numeric_cols, "LOOKUP_YEAR_FALLBACK", "LOOKUP_SUPPORTED_YEAR_RANGE")
 
 
-@query()
+def _complete_sql() -> str:
+    """Every feature: the request's own, else its group's and year's median, else the year's, else that of all rows."""
+    year = f"case when REPORT_YEAR is null then 2026 else cast({_N['REPORT_YEAR']} as integer) end"
+    unknown = lambda c: f"case when {c} is null or lower(trim({c})) in ('', 'nan', 'none', 'nat', 'unknown') then 'Unknown' else trim({c}) end as {c}"
+    own = f"""select request_id, {year} as REPORT_YEAR, {st._code('PROPERTY_POSTAL_CODE', True)} as PROPERTY_POSTAL_CODE,
+ {", ".join(unknown(c) for c in ("LEGAL_TYPE", "ZONING_DISTRICT", "ZONING_CLASSIFICATION", "NEIGHBOURHOOD_CODE"))}, {st._code('PLAN', False)} as PLAN,
+ {_N['YEAR_BUILT']} as YEAR_BUILT, {_N['BIG_IMPROVEMENT_YEAR']} as BIG_IMPROVEMENT_YEAR, 0 as PROPERTY_AGE, 0 as YEARS_SINCE_IMPROVEMENT from request"""
+    derived = st.FEATURE_PARTS[-1][1].replace("from fact", "from own")
+    histories = {p: [c for c in names] for p, names in PLAIN_HISTORY.items()}
+    series = ["net", "net_lag1", "net_yoy_change", "converted", "converted_lag1", "converted_yoy_change"]
+    given = ["YEAR_BUILT", "BIG_IMPROVEMENT_YEAR", "PROPERTY_AGE", "YEARS_SINCE_IMPROVEMENT", "REPORT_YEAR_NUM", "REPORT_YEAR_CENTERED", "HAS_BIG_IMPROVEMENT"]
+    rest = ["LAND_COORDINATE", *series, *[c for names in histories.values() for c in names]]
+    texts = ["LEGAL_TYPE", "ZONING_DISTRICT", "ZONING_CLASSIFICATION", "NEIGHBOURHOOD_CODE", "PROPERTY_POSTAL_CODE", "PLAN", "POSTAL_FSA", "BUILDING_AGE_BIN", "IMPROVEMENT_RECENCY_BIN", "LEGAL_ZONING_COMBO"]
+    medians = ", ".join(f"median({c}) as {c}" for c in [*given, *rest])
+    ctes = [*PLAIN_MODEL_PARTS, ("request", scoring_sql()), ("own", own), ("fields", derived)]
+    for p, g in _OWN.items():
+        ctes.append((f"by_{p}", f"select REPORT_YEAR as y, {g}, {', '.join(f'median({c}) as {c}' for c in histories[p])} from model group by 1, 2"))
+    ctes.append(("by_year", f"select REPORT_YEAR as y, {medians} from model group by 1"))
+    ctes.append(("overall", f"select {medians}, (select LOT from model group by 1 order by count(*) desc, LOT limit 1) as LOT from model"))
+    ctes.append(("lots", "select y, LOT from (select REPORT_YEAR as y, LOT, row_number() over (partition by REPORT_YEAR order by count(*) desc, LOT) as r from model group by 1, 2) where r = 1"))
+    shown = lambda c, *sources: f"round(cast(coalesce({', '.join(sources)}, by_year.{c}, overall.{c}) as double) + 1e-7, 3) as {c}"
+    cols = [f"f.{c}" for c in texts] + [shown(c, f"f.{c}") for c in given]
+    for c in rest:
+        prefix = c.split("_")[0]
+        cols.append(shown(c, f"by_{prefix}.{c}" if prefix in _OWN else "null"))
+    joins = " ".join(f"left join by_{p} on f.REPORT_YEAR = by_{p}.y and f.{g} = by_{p}.{g}" for p, g in _OWN.items())
+    return (
+        with_sql(*ctes)
+        + f"select request_id, f.REPORT_YEAR, {', '.join(cols)}, coalesce(lots.LOT, overall.LOT) as LOT, f.REPORT_YEAR < 2020 or f.REPORT_YEAR > 2026 as LOOKUP_YEAR_FALLBACK, "
+        f"'2020-2026' as LOOKUP_SUPPORTED_YEAR_RANGE from fields f {joins} left join by_year on f.REPORT_YEAR = by_year.y left join lots on f.REPORT_YEAR = lots.y cross join overall"
+    )
+
+
+@query(_complete_sql())
 def feature_completion_all(spark, sf):
-    """``feature_completion`` has the features of its SQL; this has all."""
-    return rounded(_all_features(spark, sf))
+    """Every feature that the model could train on, completed from the stored levels."""
+    out = _all_features(spark, sf)
+    numbers = {f.name: F.round(F.col(f.name) + 1e-7, 3) for f in out.schema if f.dataType.typeName() == "double"}
+    return out.withColumns(numbers)
 
 
 @query(

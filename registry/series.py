@@ -401,6 +401,30 @@ def group_history_strict_years_all(spark, sf):
     return rounded_history(hist.group_history(orders, "y", "k", "o_totalprice", "cust", True, strict_year=True))
 
 
+def plain_history_sql(group: str, prefix: str, extended: bool) -> str:
+    """``history_sql`` of the features without any rounding, for tables that are worked on."""
+    m = "land_value"
+    seen = "count(med) over r"
+    cols = {
+        f"prev_year_median_{m}": "lag(med) over w", f"prev_year_mean_{m}": "lag(mean_) over w", "prev_year_property_count": "lag(n) over w",
+        f"prev_2yr_median_{m}": "lag(med, 2) over w", f"prev_3yr_rolling_median_{m}": f"case when {seen} >= 2 then quantile_cont(med, 0.5) over r end",
+        "prev_3yr_growth_trend": f"case when {seen} = 3 then regr_slope(med, i) over r end",
+    }
+    if extended:
+        cols |= {
+            "prev_year_growth_rate": "lag(med) over w / nullif(lag(med, 2) over w, 0) - 1", f"prev_2yr_mean_{m}": "lag(mean_, 2) over w",
+            f"prev_3yr_rolling_mean_{m}": f"case when {seen} >= 2 then avg(med) over r end", "prev_3yr_value_std": f"case when {seen} >= 2 then stddev_samp(med) over r end",
+        }
+    shown = ", ".join(f"{e} as {prefix}_{c}" for c, e in cols.items())
+    return f"""select REPORT_YEAR, {group}, {shown} from (select *, row_number() over (partition by {group} order by REPORT_YEAR) as i from (
+ select REPORT_YEAR, {group}, quantile_cont(CURRENT_LAND_VALUE, 0.5) as med, avg(CURRENT_LAND_VALUE) as mean_, count(CURRENT_LAND_VALUE) as n from features group by 1, 2))
+ window w as (partition by {group} order by REPORT_YEAR), r as (partition by {group} order by REPORT_YEAR rows between 3 preceding and 1 preceding)"""
+
+
+PLAIN_HISTORY = {
+    "neigh": hist.history_names("neigh", "land_value", True),
+    **{p: [c for c in hist.history_names(p, "land_value", False) if not c.endswith("growth_rate")] for p in ("fsa", "plan")},
+}
 MODEL_PARTS = [
     *st.FEATURE_PARTS,
     ("s0", SUPPLY_SQL),
@@ -416,6 +440,12 @@ MODEL_PARTS = [
     ),
 ]
 MODEL = with_sql(*MODEL_PARTS)
+_PLAIN = {
+    "h1": plain_history_sql("NEIGHBOURHOOD_CODE", "neigh", True), "h2": plain_history_sql("POSTAL_FSA", "fsa", False), "h3": plain_history_sql("PLAN", "plan", False),
+    "macro": "select REPORT_YEAR, net, lag(net) over w as net_lag1, net - lag(net) over w as net_yoy_change, converted, lag(converted) over w as converted_lag1, "
+    "converted - lag(converted) over w as converted_yoy_change from s1 window w as (order by REPORT_YEAR)",
+}
+PLAIN_MODEL_PARTS = [(name, _PLAIN.get(name, sql)) for name, sql in MODEL_PARTS]
 
 
 def model_table_parts(spark, sf):

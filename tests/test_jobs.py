@@ -58,6 +58,13 @@ def test_from_raw_files_to_scores(spark, tmp_path):
     row = spark.read.parquet(path("scores")).first()
     assert row["error_band_source"] == "neighbourhood_mean_abs_error" and 100000 < row["point_estimate"] < 350000
     assert spark.read.parquet(path("refused")).count() == 0
+    table = spark.read.parquet(path("model_table"))
+    table.where("REPORT_YEAR < 2026").write.parquet(path("older"))
+    table.where("REPORT_YEAR = 2026").write.parquet(path("newest"))
+    jobs.completion_levels(spark, path("older"), path("levels_before"))
+    jobs.completion_levels(spark, path("newest"), path("levels"), added_to=path("levels_before"))
+    jobs.score(spark, path("requests"), path("model"), path("model_table"), path("reports"), path("scores3"), path("refused3"), completion=path("levels"))
+    assert spark.read.parquet(path("scores3")).first() == row
     jobs.score(spark, path("requests"), path("model"), path("model_table"), path("nothing"), path("scores2"), path("refused2"))
     assert spark.read.parquet(path("scores2")).first()["error_band_source"] == "fallback_20pct"
 
@@ -71,13 +78,15 @@ def test_address_and_option_steps(spark, tmp_path):
     table = spark.read.parquet(path("addresses"))
     assert table.count() == 40 and "PID" not in table.columns
     requests = spark.createDataFrame(
-        [(1, "107", "oak", "v1h0j4", 2026, 5), (2, "107", "birch", None, None, 5), (3, "999", "oak", None, None, 5), (4, "107", "o", None, 2026, 50)],
+        [(1, "107", "oak", "v1h0j4", 2026, 5), (2, "107", "birch", None, None, 5), (3, "999", "oak", None, None, 5), (4, "107", "o", None, 2026, 20), (5, "107", "oak", None, 2026, 21)],
         "request_id int, street_number string, street_name string, property_postal_code string, report_year int, `limit` int",
     )
     requests.write.parquet(path("asked"))
-    jobs.address_lookup(spark, path("asked"), path("addresses"), "2026", path("found"), path("outcome"))
+    jobs.address_index(spark, path("addresses"), path("index"))
+    jobs.address_lookup(spark, path("asked"), path("index"), "2026", path("found"), path("outcome"), path("refused"))
+    assert [(r["request_id"], r["errors"]) for r in spark.read.parquet(path("refused")).collect()] == [(5, ["limit_out_of_range"])]
     outcome = {r["request_id"]: (r["match_count"], r["auto_selected"], r["postal_match_mode"]) for r in spark.read.parquet(path("outcome")).collect()}
-    assert outcome == {1: (1, True, "exact"), 2: (1, True, "none"), 3: (0, False, "none"), 4: (1, True, "none")}
+    assert outcome == {1: (1, True, "exact"), 2: (1, True, "none"), 3: (0, False, "none"), 4: (1, True, "none"), 5: (0, False, "none")}
     modes = {r["request_id"]: r["name_match_mode"] for r in spark.read.parquet(path("found")).collect()}
     assert modes == {1: "contains", 2: "none", 4: "contains"}
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import addresses, completion, facets, ranges, requests
+from cadastra.session import stage
 
 CANDIDATES = addresses.CANDIDATE_COLUMNS
 
@@ -83,6 +84,23 @@ def test_address_resolution_is_the_cascade(spark, address_source):
     assert all(outcome[k]["match_count"] == len(v) and outcome[k]["auto_selected"] == (len(v) == 1) for k, v in want.items())
 
 
+def test_stored_index_is_read_by_its_buckets(spark, address_source, tmp_path):
+    path = f"file:{tmp_path}/index"
+    addresses.write_address_index(addresses.address_table(address_source, "row_id"), path, max_limit=5)
+    index = addresses.open_address_index(spark, path)
+    streets, places = (stage(t.drop("ids").sample(0.5, 1)) for t in (index.streets, index.places))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for side, keys in ((streets.select(*addresses.NODE).distinct(), addresses.NODE), (places, addresses.PLACE)):
+            joined = (index.streets if keys == addresses.NODE else index.places).join(side, keys)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1  # the asked side
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert index.places.agg(F.max(F.size("ids"))).first()[0] == 5
+
+
 def test_address_source_checks(address_source):
     with pytest.raises(ValueError, match="STREET_NAME"):
         addresses.address_table(address_source.drop("STREET_NAME"))
