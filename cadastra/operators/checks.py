@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
+
+from cadastra.session import observed_stage
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
@@ -41,6 +43,30 @@ def require_same_rows(before: int, after: int) -> None:
         raise ValueError(f"row count changed by joins: before={before}, after={after}; a joined key is not unique")
 
 
+class RowGuard:
+    """Rows before and after joins, counted by the pass that writes the result.
+
+    Put ``before`` on the rows that the joins start from and ``after`` on their
+    result; once that is written, ``counts`` has both and ``check`` refuses a
+    result whose joins changed the number of rows.
+    """
+
+    def __init__(self) -> None:
+        self._before, self._after = Observation(), Observation()
+
+    def before(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._before, F.count(F.lit(1)).alias("rows"))
+
+    def after(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._after, F.count(F.lit(1)).alias("rows"))
+
+    def counts(self) -> tuple[int, int]:
+        return self._before.get["rows"], self._after.get["rows"]
+
+    def check(self) -> None:
+        require_same_rows(*self.counts())
+
+
 def split_counts(df: DataFrame, year: str, first_test_year: int) -> DataFrame:
     """Rows on either side of a time split, in one pass."""
     return df.agg(
@@ -52,11 +78,23 @@ def split_counts(df: DataFrame, year: str, first_test_year: int) -> DataFrame:
 def time_split(df: DataFrame, year: str, first_test_year: int) -> tuple[DataFrame, DataFrame]:
     """Train rows before the year, test rows from it on; neither may be empty."""
     counts = split_counts(df, year, first_test_year).first()
-    if not counts["train_rows"] or not counts["test_rows"]:
-        raise ValueError("the time split leaves no train or no test rows")
+    _require_split(counts["train_rows"], counts["test_rows"])
     return df.where(F.col(year) < first_test_year), df.where(F.col(year) >= first_test_year)
 
 
+def _require_split(train_rows: int, test_rows: int) -> None:
+    if not train_rows or not test_rows:
+        raise ValueError("the time split leaves no train or no test rows")
+
+
+def staged_split(df: DataFrame, year: str, first_test_year: int) -> tuple[DataFrame, DataFrame, dict[str, object]]:
+    """``time_split`` of a table that is written first; the pass that writes it counts both sides and finds the last year."""
+    before = F.col(year) < first_test_year
+    table, seen = observed_stage(df, train_rows=F.count_if(before), test_rows=F.count_if(~before), last_year=F.max(year))
+    _require_split(seen["train_rows"], seen["test_rows"])
+    return table.where(before), table.where(~before), seen
+
+
 def usable_numeric_columns(df: DataFrame, columns: list[str]) -> list[str]:
     """Columns with at least one value, found in one aggregate over all of them."""
     if not columns:

@@ -28,9 +28,11 @@ def encoder_key(col: str) -> Column:
 def fit_target_encoder(train: DataFrame, cols: list[str], target: Column) -> TargetEncoder:
     """Mean target per category of each column, all columns in one pass."""
     cols = [c for c in cols if c in train.columns]
+    mean = train.agg(F.avg(target)).first()[0]
+    if not cols:
+        return TargetEncoder(train.sparkSession.createDataFrame([], "feature string, key string, te double"), mean, cols)
     keyed = train.select(*[encoder_key(c).alias(c) for c in cols], target.alias("_target"))
     means = melt(keyed, ["_target"], cols, "feature", "key").groupBy("feature", "key").agg(F.avg("_target").alias("te"))
-    mean = train.agg(F.avg(target)).first()[0]
     return TargetEncoder(stage(means), mean, cols)
 
 

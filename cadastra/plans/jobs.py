@@ -11,7 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cadastra.operators import addresses, counts, facets, levels
+from cadastra.operators import addresses, counts, facets, history_store, levels
+from cadastra.operators.checks import RowGuard
 from cadastra.operators.yearly import yearly_from_monthly, yearly_passthrough
 from cadastra.plans import evaluate, importance, scoring, train
 from cadastra.plans.clean_fact import clean_fact, clean_summary, read_extract
@@ -84,12 +85,19 @@ def model_table(
     read = lambda path: spark.read.parquet(path) if path and path_exists(spark, path) else None
     facts = spark.read.parquet(fact)
     sources = {name: read(path) for name, path in series.items()}
-    table, notes = build_model_table(facts, sources, read(census), merge_census == "yes")
+    guard = RowGuard()
+    table, notes = build_model_table(facts, sources, read(census), merge_census == "yes", guard=guard)
     write_table(table, out, [YEAR])
+    guard.check()
     written = spark.read.parquet(out).select(*table.columns)
     write_report(model_table_summary(facts, written, notes), summary)
 
 
+def add_history(spark: SparkSession, fact: str, state: str, group: str = "NEIGHBOURHOOD_CODE", target: str = "CURRENT_LAND_VALUE") -> None:
+    """Merges new facts into the stored counts and statistics that the history of a group comes from."""
+    history_store.add_facts(spark, spark.read.parquet(fact), state, YEAR, group, target)
+
+
 def train_model(
     spark: SparkSession, table: str, model: str, reports: str, encoding_mode: str = "b", sample_fraction: str = "1.0", trees: str = "100"
 ) -> None:
@@ -188,7 +196,7 @@ def options(spark: SparkSession, requests: str, lookup: str, default_year: str,
 
 STEPS: dict[str, Callable[..., None]] = {
     f.__name__: f
-    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, train_model, completion_levels, score, address_table, address_index, address_lookup, options)
+    for f in (clean, mortgage_rates, permanent_residents, study_permits, rental_supply, census, model_table, add_history, train_model, completion_levels, score, address_table, address_index, address_lookup, options)
 }
 
 

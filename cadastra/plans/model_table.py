@@ -14,7 +14,7 @@ from cadastra.functions.numbers import (
 )
 from cadastra.functions.postal import postal_code, postal_fsa
 from cadastra.functions.text import pair_key, plan_code
-from cadastra.operators.checks import has_unique_keys, new_columns, require_columns, require_same_rows
+from cadastra.operators.checks import RowGuard, has_unique_keys, new_columns, require_columns
 from cadastra.operators.counts import literal_summary, null_rates, summary_rows, union_all, wide_to_summary
 from cadastra.operators.history import attach_history, group_history, history_names
 from cadastra.operators.yearly import merge_yearly
@@ -106,12 +106,13 @@ def build_model_table(
     census: DataFrame | None = None,
     census_wanted: bool = False,
     cols: FactColumns | None = None,
-    check_rows: bool = False,
+    guard: RowGuard | None = None,
 ) -> tuple[DataFrame, list[tuple[str, str, object]]]:
     """The model table and the summary rows known without a pass over it.
 
     All joined sides have one row per key by construction (or by the census
-    check), so the row count cannot change; ``check_rows`` counts to prove it.
+    check), so the row count cannot change; a ``guard`` counts both sides in the
+    pass that writes the table, to prove it.
     """
     cols = cols or FactColumns()
     loaded = load_fact(fact, cols)
@@ -123,6 +124,7 @@ def build_model_table(
     # The histories read these few columns several times.
     base = stage(table.select(cols.year, cols.target, *[f[0] for f in families]))
 
+    table = guard.before(table) if guard else table
     table, macro, statuses = merge_yearly(table, sources, cols.year)
     notes += [("engineered_macro_feature", c, "merged") for c in macro]
     notes += [("source_status", name, status) for name, status in statuses.items()]
@@ -134,9 +136,7 @@ def build_model_table(
 
     table, status = merge_census(table, census, census_wanted, [cols.neighbourhood, "POSTAL_FSA", cols.postal])
     notes.append(("source_status", "census_profile", status))
-    if check_rows:
-        require_same_rows(loaded.count(), table.count())
-    return table, notes
+    return guard.after(table) if guard else table, notes
 
 
 def model_table_summary(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 _FOLDERS: set[str] = set()
@@ -60,6 +60,13 @@ def drop_stages(spark: SparkSession) -> None:
     _delete(spark, shared_folder(spark))
 
 
+def observed_stage(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, object]]:
+    """``stage`` with aggregates of the rows, taken by the pass that writes them."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(n) for n, c in measures.items()]))
+    return staged, seen.get
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

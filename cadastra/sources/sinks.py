@@ -17,6 +17,12 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
         df.write.mode("overwrite").parquet(path)
 
 
+def write_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Parquet that replaces only the partitions that ``df`` has rows of; the others stay as they are."""
+    writer = df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
+
+
 def write_report(df: DataFrame, path: str, note: str | None = None) -> None:
     """CSV with a header, optionally with a constant note column."""
     if note is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import checks, yearly
 from cadastra.operators.history import attach_history, group_history, history_names
+from cadastra.session import stage
 from cadastra.plans import model_table as mt
 
 NAMES = history_names("g", "land_value", True)
@@ -91,8 +92,11 @@ def test_model_table_shape(spark):
     fact = spark.createDataFrame(rows, schema).withColumns({"PROPERTY_AGE": F.lit(1.0), "YEARS_SINCE_IMPROVEMENT": F.lit(1.0)})
     series = lambda names: spark.createDataFrame([(y, *[float(y)] * len(names)) for y in range(2018, 2026)], ["REPORT_YEAR", *names])
     sources = {"rate": series(["r1", "r2"]), "people": series(["p1", "p2"]), "permits": series(["s1"]), "supply": series(["c1", "c2", "c3"])}
-    table, notes = mt.build_model_table(fact, sources, check_rows=True)
-    assert table.count() == fact.count()
+    guard = checks.RowGuard()
+    table, notes = mt.build_model_table(fact, sources, guard=guard)
+    table = stage(table)
+    guard.check()
+    assert guard.counts() == (84, 84) and table.count() == fact.count()
     # Cleaned columns, new property columns, yearly columns and history columns.
     assert len(table.columns) == 15 + 7 + 24 + 22
     made = [n for s, n, _ in notes if s == "engineered_property_feature"]
