@@ -9,9 +9,9 @@ reads it again.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from cadastra.llm.exact_dedup import dedup
+from cadastra.llm.exact_dedup import dedup, normalised
 from cadastra.llm.mixing import mix
 from cadastra.llm.ngram_join import similar_groups
 from cadastra.llm.resampling import resample
@@ -34,9 +34,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest id stays, of rows with one id one."""
-    decided = dedup(docs).where("kept")
-    return _kept(docs, decided).dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of equal texts the row with the smallest id stays; rows with one id and different texts are judged each on its own text.
+
+    Rows that share id and text are one, the smallest by their columns. A row
+    without an id stays where no row with an id has its text.
+    """
+    kept = dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    marked = docs.withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_digest").orderBy(*[c for c in docs.columns if c != "doc_id"]))
+    single = marked.withColumn("_at", first).where(F.col("_at") == 1)
+    return single.join(kept.withColumnRenamed("_digest", "_kept"), (F.col("_digest") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

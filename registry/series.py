@@ -159,8 +159,11 @@ def merge_yearly_series(spark, sf):
 
 
 @query(
-    """select source, status from (values ('supply', 'merged'), ('absent', 'missing_input'), ('no_year', 'missing_REPORT_YEAR'),
- ('texts', 'no_numeric_features')) v(source, status) where exists (select 1 from lineitem)"""
+    f"""with s as ({SUPPLY_SQL})
+select 'supply' as source, case when count(REPORT_YEAR) = 0 then 'missing_REPORT_YEAR' when count(net) + count(added) + count(converted) > 0 then 'merged' else 'no_numeric_features' end as status from s
+union all select 'absent', case when count(*) = 0 then 'missing_input' end from duckdb_tables() where table_name = 'no_such_series'
+union all select 'no_year', case when count(*) filter (column_name = 'REPORT_YEAR') = 0 then 'missing_REPORT_YEAR' end from duckdb_columns() where table_name = 'region'
+union all select 'texts', case when count(try_cast(o_orderstatus as double)) > 0 then 'merged' else 'no_numeric_features' end from orders"""
 )
 def yearly_source_status(spark, sf):
     supply_table = supply_series(spark, sf)
@@ -475,9 +478,35 @@ def model_table_null_rates(spark, sf):
     return summary.where(F.col("metric").isin(wanted)).select("metric", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
-@query()
+def _report_sql() -> str:
+    """Every row of the report: notes on what was made, the table's shape, and the share of NULLs of each new column."""
+    made = ["REPORT_YEAR_NUM", "REPORT_YEAR_CENTERED", "PROPERTY_AGE", "BUILDING_AGE_BIN", "YEARS_SINCE_IMPROVEMENT", "HAS_BIG_IMPROVEMENT", "IMPROVEMENT_RECENCY_BIN", "POSTAL_FSA", "LEGAL_ZONING_COMBO"]
+    macro = ["net", "net_lag1", "net_yoy_change", "converted", "converted_lag1", "converted_yoy_change"]
+    groups = [c for names in PLAIN_HISTORY.values() for c in names]
+    added = sorted([*[c for c in made if c not in ("PROPERTY_AGE", "YEARS_SINCE_IMPROVEMENT")], *macro, *groups])
+    texts = lambda names: ", ".join(f"'{n}'" for n in names)
+    rates = ", ".join(f"cast({c} is null as integer) as {c}" for c in added)
+    return f"""select 'table' as section, 'fact_rows_before' as metric, cast(count(*) as varchar) as value from fact
+union all select 'engineered_property_feature', unnest([{texts(made)}]), 'created' union all select 'engineered_macro_feature', unnest([{texts(macro)}]), 'merged'
+union all select 'engineered_group_feature', unnest([{texts(groups)}]), 'created'
+union all select 'source_status', unnest(['supply', 'absent', 'census_profile']), unnest(['merged', 'missing_input', 'deferred_default'])
+union all select 'table', 'total_rows', cast(count(*) as varchar) from model union all select 'table', 'year_coverage', min(REPORT_YEAR) || '-' || max(REPORT_YEAR) from model
+union all select 'table', 'sample_years_present', string_agg(y, ',' order by y) from (select distinct cast(REPORT_YEAR as varchar) as y from model)
+union all select 'table', 'total_columns', cast(len(list_distinct(flatten(list(json_keys(j))))) as varchar) from (select to_json(m) as j from model m limit 1)
+union all select 'table', 'new_columns_count', '{len(added)}' union all select 'table', 'new_columns', '{",".join(added)}'
+union all select 'table', 'group_feature_families', 'neigh_history,fsa_history,plan_history'
+union all select 'missing_rate', metric, printf('%.6f', avg(v)) from (unpivot (select {rates} from model) on columns(*) into name metric value v) group by 2"""
+
+
+@query(MODEL + _report_sql())
 def model_table_report(spark, sf):
-    """The whole report; ``model_table_null_rates`` has the rates of its SQL."""
+    """The whole report; shares of NULLs with six digits."""
+    report = _model_table_report(spark, sf)
+    share = F.when(F.col("section") == "missing_rate", F.format_string("%.6f", F.col("value").try_cast("double"))).otherwise(F.col("value"))
+    return report.withColumn("value", share)
+
+
+def _model_table_report(spark, sf):
     out, notes = model_table_parts(spark, sf)
     return mt.model_table_summary(st.fact(spark, sf), stage(out), notes)
 
@@ -489,14 +518,19 @@ def model_table_report(spark, sf):
   BIG_IMPROVEMENT_YEAR, LAND_COORDINATE, PLAN, LOT, PROPERTY_AGE, YEARS_SINCE_IMPROVEMENT)) is null as integer) from model) on columns(*) into name metric value v) group by 1"""
 )
 def model_table_null_rates_all(spark, sf):
-    report = model_table_report(spark, sf).where(F.col("section") == "missing_rate")
+    report = _model_table_report(spark, sf).where(F.col("section") == "missing_rate")
     return report.select("metric", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
 @query(
-    """select 'default' as what, 'deferred_default' as status from region union select 'absent', 'deferred_missing_input' from region
- union select 'no_key', 'deferred_no_shared_geo_key' from region union select 'no_features', 'deferred_no_census_features' from region
- union select 'twice', 'deferred_non_unique_geo_key' from region union select 'good', 'merged_on_NEIGHBOURHOOD_CODE' from region"""
+    """with sides as (
+ select 'twice' as what, count(*) as n, count(distinct c_nationkey) as keys, count(c_acctbal) as features from customer
+ union all select 'good', count(*), count(distinct k), count(people) from (select c_nationkey as k, count(*) as people from customer group by 1)
+ union all select 'no_features', count(*), count(distinct k), 0 from (select distinct c_nationkey as k from customer)
+ union all select 'no_key', count(*), null, count(people) from (select c_nationkey as k, count(*) as people from customer group by 1)
+ union all select 'absent', null, null, null union all select 'default', count(*), count(distinct c_nationkey), 1 from customer)
+select what, case when what = 'default' then 'deferred_default' when n is null then 'deferred_missing_input' when keys is null then 'deferred_no_shared_geo_key'
+ when features = 0 then 'deferred_no_census_features' when n > keys then 'deferred_non_unique_geo_key' else 'merged_on_NEIGHBOURHOOD_CODE' end as status from sides"""
 )
 def census_merge_decisions(spark, sf):
     fact = st.fact(spark, sf)
