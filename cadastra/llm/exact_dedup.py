@@ -22,8 +22,8 @@ MAX_KICKS = 200
 #: Digests a shard is laid out for; a shard holds one row for each, and one task works on it.
 SHARD_ROWS = 100_000
 
-STATE = "shard int, digest binary, keep_id long, group_size long, slot long"
-STATE_COLUMNS = ["shard", "digest", "keep_id", "group_size", "slot"]
+STATE = "shard int, digest binary, keep_id long, group_size long, slot long, buckets long"
+STATE_COLUMNS = ["shard", "digest", "keep_id", "group_size", "slot", "buckets"]
 
 
 class CuckooFilter:
@@ -99,10 +99,9 @@ class CuckooFilter:
         del self.keys[slot]
         return True
 
-    def load(self, keys: list[bytes], slots: list[int]) -> None:
-        """Put keys back at the slots they were stored at."""
-        while self.size * SLOTS <= max(slots, default=0):
-            self.size *= 2
+    def load(self, keys: list[bytes], slots: list[int], buckets: int) -> None:
+        """Put keys back at the slots they were stored at in a filter of so many buckets."""
+        self.size = buckets
         self._clear()
         for key, slot in zip(keys, slots):
             self._put(slot // SLOTS, slot % SLOTS, int.from_bytes(key[:2], "little") or 1, key)
@@ -134,17 +133,22 @@ def _combined(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def _opened(stored: pd.DataFrame, expected: int) -> tuple[CuckooFilter, dict[bytes, list]]:
+    """The shard's filter as it was stored, or filled again from the stored keys if more are expected than it is laid out for."""
     filter_ = CuckooFilter(max(expected, len(stored)))
     rows = {bytes(d): [k, n] for d, k, n in zip(stored.digest, stored.keep_id, stored.group_size)}
-    if len(stored):
-        filter_.load(list(rows), [int(s) for s in stored.slot])
+    buckets = int(stored.buckets.iloc[0]) if len(stored) else 0
+    if buckets >= filter_.size:
+        filter_.load(list(rows), [int(s) for s in stored.slot], buckets)
+    else:
+        for key in rows:
+            filter_.insert(key)
     return filter_, rows
 
 
 def _closed(shard: int, filter_: CuckooFilter, rows: dict[bytes, list]) -> pd.DataFrame:
     at = {key: slot for slot, key in filter_.keys.items()}
     out = pd.DataFrame(
-        {"shard": shard, "digest": list(rows), "keep_id": [r[0] for r in rows.values()], "group_size": [r[1] for r in rows.values()], "slot": [at[k] for k in rows]}
+        {"shard": shard, "digest": list(rows), "keep_id": [r[0] for r in rows.values()], "group_size": [r[1] for r in rows.values()], "slot": [at[k] for k in rows], "buckets": filter_.size}
     )
     return out.astype({"keep_id": "Int64", "shard": "int32"})[STATE_COLUMNS]
 

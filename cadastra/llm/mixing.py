@@ -17,8 +17,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cadastra.session import stage
 
-#: Words that the knapsack closes exactly; what is missing before it is filled from the longest length down.
+#: Words that the knapsack closes exactly: so many, and so many times the longest length at least. What is missing before it is
+#: filled from the longest length down.
 KNAPSACK_WORDS = 20_000
+KNAPSACK_LONGEST = 4
+#: Steps of the knapsack between the sums that it keeps.
+KEPT_STEPS = 64
 #: Documents of one source and length that are ranked together.
 CELL_ROWS = 512
 
@@ -54,36 +58,35 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
 def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int) -> np.ndarray:
     """How many of each length to take, so that their sum comes as near to ``budget`` from below as found.
 
-    The rest that the knapsack gets is at most ``KNAPSACK_WORDS`` if there are
-    lengths to fill it with; over it the result is the best there is. No free
-    document that still fits is left out.
+    The rest that the knapsack gets is at most its window if there are lengths to
+    fill it with; over it the result is the best there is. The window holds
+    several of the longest documents, so it never shuts one out that would fit.
     """
     length, count = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     total = int((length * count).sum())
     if budget >= total:
         return count.copy()
-    taken = np.array([int(c) * max(0, budget - KNAPSACK_WORDS // 2) // total for c in count.tolist()], np.int64)
+    window = max(KNAPSACK_WORDS, KNAPSACK_LONGEST * int(length.max(initial=0)))
+    taken = np.array([int(c) * max(0, budget - window // 2) // total for c in count.tolist()], np.int64)
     rest = budget - int((length * taken).sum())
     for i in np.argsort(-length, kind="stable"):
-        if rest <= KNAPSACK_WORDS:
+        if rest <= window:
             break
-        more = min(int(count[i] - taken[i]), (rest - KNAPSACK_WORDS // 2) // max(1, int(length[i])))
-        taken[i] += max(0, more)
-        rest -= max(0, more) * int(length[i])
-    if rest > KNAPSACK_WORDS:
-        # What is still free is longer than rest - KNAPSACK_WORDS // 2, so one document fits at most: the longest that does.
-        fits = np.flatnonzero((taken < count) & (length <= rest))
-        if len(fits):
-            longest = fits[np.argmax(length[fits])]
-            taken[longest] += 1
-            rest -= int(length[longest])
-    return taken + _knapsack(length, count - taken, min(rest, KNAPSACK_WORDS))
+        more = max(0, min(int(count[i] - taken[i]), (rest - window // 2) // max(1, int(length[i]))))
+        taken[i] += more
+        rest -= more * int(length[i])
+    return taken + _knapsack(length, count - taken, rest)
 
 
 def _knapsack(length: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: sums that can be reached are bits of one number, each length in binary parts."""
+    """Bounded knapsack: sums that can be reached are bits of one number, each length in binary parts.
+
+    The sums before every ``KEPT_STEPS``th step are kept; on the way back, those
+    in between are worked out again.
+    """
     used = np.zeros(len(length), np.int64)
-    steps: list[tuple[int, int, int, int]] = []  # length, how many at once, its sum, the sums reached before
+    steps: list[tuple[int, int, int]] = []  # length, how many at once, its sum
+    kept: list[int] = []
     reached, mask = 1, (1 << (budget + 1)) - 1
     for i in np.argsort(length, kind="stable"):
         size = int(length[i])
@@ -92,15 +95,22 @@ def _knapsack(length: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
         left, part = min(int(free[i]), budget // size), 1
         while left and not reached >> budget & 1:
             part = min(part, left)
-            steps.append((i, part, size * part, reached))
+            if len(steps) % KEPT_STEPS == 0:
+                kept.append(reached)
+            steps.append((i, part, size * part))
             reached |= reached << size * part & mask
             left -= part
             part *= 2
     at = reached.bit_length() - 1
-    for i, part, size, before in reversed(steps):
-        if not before >> at & 1:
-            used[i] += part
-            at -= size
+    for block in range(len(kept) - 1, -1, -1):
+        some = steps[block * KEPT_STEPS : (block + 1) * KEPT_STEPS]
+        before = [kept[block]]
+        for _, _, size in some[:-1]:
+            before.append(before[-1] | before[-1] << size & mask)
+        for (i, part, size), sums in zip(reversed(some), reversed(before)):
+            if not sums >> at & 1:
+                used[i] += part
+                at -= size
     return used
 
 

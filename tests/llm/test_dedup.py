@@ -60,6 +60,25 @@ def test_index_inserts_and_deletes(spark, documents):
     assert sorted((r.keep_id, r.group_size) for r in index.insert(digests(documents([(8, "a")]))).live().collect()) == [(7, 1), (8, 1), (9, 1)]
 
 
+def test_index_over_growing_and_shrinking_batches(spark, documents):
+    """Against a dictionary; batches are much larger and much smaller than what is stored."""
+    index, want = DedupIndex(spark, 1), {}
+    text = lambda i: f"text {i}"
+    for step, ids in (("in", range(10)), ("in", range(4000)), ("out", range(10, 4000)), ("in", range(5, 25)), ("in", range(3)), ("out", range(7))):
+        if step == "in":
+            index = index.insert(digests(documents([(100_000 * len(want) + i, text(i)) for i in ids])))
+            base = 100_000 * len(want)
+            for i in ids:
+                keep, n = want.get(text(i), (base + i, 0))
+                want[text(i)] = (min(keep, base + i), n + 1)
+        else:
+            index = index.delete(digests(documents([(0, text(i)) for i in ids])))
+            for i in ids:
+                want.pop(text(i), None)
+        got = {bytes(r.digest): (r.keep_id, r.group_size) for r in index.live().collect()}
+        assert got == {hashlib.sha256(t.encode()).digest(): v for t, v in want.items()}
+
+
 def shingles(text):
     words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])

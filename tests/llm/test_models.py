@@ -218,6 +218,21 @@ def test_long_documents_fill_the_budget():
         assert all(n > rest for n, t, c in zip(lengths, taken, counts) if t < c)
 
 
+def test_long_documents_are_combined():
+    for lengths, budget in (([30_000, 28_000, 22_000], 50_000), ([60_000, 40_000, 39_000, 21_000], 100_000)):
+        assert int((fill_budget(lengths, [1] * len(lengths), budget) * np.array(lengths)).sum()) == budget
+    draw = random.Random(12)
+    for _ in range(100):
+        lengths = draw.sample(range(15_000, 60_000), draw.randint(1, 5))
+        counts = [draw.randint(1, 2) for _ in lengths]
+        sums = {0}
+        for n, c in zip(lengths, counts):
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        budget = draw.randint(0, min(sum(a * b for a, b in zip(lengths, counts)), 4 * max(lengths)))
+        taken = fill_budget(lengths, counts, budget)
+        assert sum(int(t) * n for t, n in zip(taken, lengths)) == max(s for s in sums if s <= budget)
+
+
 def test_mix_of_sources(documents):
     draw = random.Random(9)
     rows = []

@@ -44,3 +44,20 @@ def test_stages_bear_odd_rows(spark, name):
     function = dict(corpus_pipeline.STAGES)[name]
     assert function(spark, docs.unionByName(odd), SF).count() > 0
     assert function(spark, docs.limit(0), SF).count() == 0
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    rows = [(3, "same  text"), (5, "own text"), (5, "same text"), (5, "own\ttext"), (7, None), (8, ""), (None, "same text"), (None, "no id"), (None, "no id")]
+    table = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema))
+    got = corpus_pipeline.exact_duplicates(spark, table, SF).select("doc_id", "text").collect()
+    assert sorted((str(i), str(t)) for i, t in got) == sorted([("3", "same  text"), ("5", "own\ttext"), ("7", "None"), ("None", "no id")])
+
+
+def test_the_entry_works_without_the_subpackage():
+    """A library that only the subpackage needs is missing: its queries are left out and the others stay."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); assert 'clean_fact' in q and 'pipeline' not in q and not any(n.startswith('op1') for n in q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0])
