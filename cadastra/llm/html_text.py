@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cadastra.llm.arrow import map_rows
+from cadastra.session import stage
 
 #: Pages, and the longest of them, that the field is trained on.
 TRAINING_PAGES = 300
@@ -50,6 +51,10 @@ _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*|'[^']*|[^\s\"'>]+)", re.I)
 _LETTERS = re.compile(r"[a-z]+")
+#: Names that say what an element lacks or how it looks, as in "no-sidebar".
+_ABOUT = re.compile(r"(?:no|not|non|has|have|with|without|is|hide|hidden)(?![a-z])")
+#: Elements that hold the whole page: their names say nothing about its parts.
+WHOLE = frozenset({"html", "body"})
 _SPACE = re.compile(r"\s+")
 
 
@@ -62,6 +67,12 @@ class Block:
     link_chars: int
 
 
+def _names(attributes: str) -> set[str]:
+    """Words of an element's class, id and role; names such as "no-sidebar" are left out."""
+    tokens = (t for n in _NAMED.finditer(attributes) for t in n[2].lower().strip("\"'").split())
+    return {w for t in tokens if not _ABOUT.match(t) for w in _LETTERS.findall(t)}
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order. Character references are decoded; a tag that the page breaks off in is left out."""
     out: list[Block] = []
@@ -137,7 +148,7 @@ def leaf_blocks(page: str) -> list[Block]:
             while open_ and open_[-1][0] in ended:
                 open_.pop()
             if tag not in VOID:
-                named = {w for n in _NAMED.finditer(m[3]) for w in _LETTERS.findall(n[2].lower())} if m[3] else set()
+                named = _names(m[3]) if m[3] and tag not in WHOLE else ()
                 path = open_[-1][1] if open_ else ()
                 open_.append((tag, (*path, f"in:{tag}", *sorted(f"as:{w}" for w in named))))
     if not silent and at < len(page):
@@ -265,14 +276,21 @@ def page_labels(blocks: Sequence[Block]) -> list[int]:
     return [int(not MAIN.isdisjoint(b.path) and OTHER.isdisjoint(b.path)) for b in blocks]
 
 
+#: What a main block may stand in, and those of them that often hold a few words only.
+INSIDE = ("in:ul in:li", "in:ol in:li", "in:ul in:li in:p", "in:ul in:li in:ul in:li", "in:table in:tr in:td", "in:table in:tbody in:tr in:td", "in:table in:thead in:tr in:th", "in:blockquote",
+          "in:blockquote in:p", "in:pre", "in:dl in:dt", "in:dl in:dd", "in:figure in:figcaption", "in:h1", "in:h2", "in:h3", "in:h4", "in:section in:p", "in:div", "in:details in:summary")
+SHORT = frozenset("in:li in:td in:th in:dt in:h1 in:h2 in:h3 in:h4 in:figcaption in:summary".split())
+
+
 def rebuilt(blocks: Sequence[Block], labels: Sequence[int], strange: Sequence[str], draw: random.Random) -> tuple[list[Block], list[int]]:
     """A labelled page in another layout: the main blocks in another container, other parts around and inside it.
 
     ``strange`` has texts of other pages; they fill the added parts, comments
     among them, so that it is not the wording that gives a part away.
     """
-    container = draw.choice(["in:article", "in:main", "in:div as:content", "in:div as:post as:body", "in:div as:entry as:content", "in:section as:article", "in:div as:story",
-                             "in:main in:div as:content", "in:div as:main", "in:td as:content"]).split()
+    containers = ["in:article", "in:main", "in:div as:content", "in:div as:post as:body", "in:div as:entry as:content", "in:section as:article", "in:div as:story",
+                  "in:main in:div as:content", "in:div as:main", "in:td as:content"]
+    container = [p for name in draw.sample(containers, draw.randint(1, 2)) for p in name.split()]
     parts = {
         "in:nav": "li", "in:header": "p", "in:header in:nav": "li", "in:footer": "p", "in:div as:footer": "p", "in:aside": "p", "in:aside as:sidebar": "li",
         "in:div as:sidebar": "p", "in:div as:ad": "div", "in:div as:advert": "p", "in:div as:ads as:banner": "div", "in:div as:cookie as:notice": "p",
@@ -283,21 +301,34 @@ def rebuilt(blocks: Sequence[Block], labels: Sequence[int], strange: Sequence[st
     inner = ["in:div as:ad", "in:aside", "in:div as:share as:social", "in:form as:newsletter as:subscribe", "in:div as:comments in:div as:comment", "in:div as:related", "in:div as:notice"]
 
     def part(name: str, inside: Sequence[str] = ()) -> list[Block]:
-        leaf = parts.get(name, "p")
-        path = ("in:html", "in:body", *inside, *name.split(), f"in:{leaf}")
-        texts = [draw.choice(strange) for _ in range(draw.randint(1, 4))]
-        if leaf == "li":
-            texts = [" ".join(t.split()[: draw.randint(1, 3)]) for t in texts]
-        return [Block(t, path, len(t) if leaf == "li" else 0) for t in texts if t]
+        usual = parts.get(name, "p")
+        made = []
+        for _ in range(draw.randint(1, 4)):
+            leaf = (f"in:{usual}" if draw.random() < 0.6 else draw.choice(INSIDE)).split()
+            text, linked = draw.choice(strange), 0
+            if usual == "li" or leaf[-1] in SHORT:
+                text = " ".join(text.split()[: draw.randint(1, 3 if usual == "li" else 9)])
+                linked = len(text) if usual == "li" or draw.random() < 0.3 else 0
+            made.append(Block(text, ("in:html", "in:body", *inside, *name.split(), *leaf), linked))
+        return [b for b in made if b.text]
 
     out: list[tuple[Block, int]] = []
     for name in draw.sample(sorted(parts), draw.randint(1, 5)):
         out += [(b, 0) for b in part(name)]
+    # Runs of main blocks become lists, tables, quotes and the like; a list has short items as well.
+    inside, going = (), 0
     main = [b for b, label in zip(blocks, labels) if label]
     for i, block in enumerate(main):
         leaf = next((p for p in reversed(block.path) if p.startswith("in:")), "in:p")
-        out.append((Block(block.text, ("in:html", "in:body", *container, leaf), block.link_chars), 1))
-        if i and draw.random() < 0.15:
+        if not going:
+            inside, going = (draw.choice(INSIDE).split(), draw.randint(1, 4)) if draw.random() < 0.4 else ((leaf,), 1)
+        going -= 1
+        text, linked = block.text, block.link_chars
+        if inside[-1] in SHORT and draw.random() < 0.6:
+            text = " ".join(text.split(" ")[: draw.randint(1, 9)])
+            linked = len(text) if draw.random() < 0.1 else min(linked, len(text))
+        out.append((Block(text, ("in:html", "in:body", *container, *inside), linked), 1))
+        if i and draw.random() < 0.3:
             out += [(b, 0) for b in part(draw.choice(inner), container)]
     for name in draw.sample(sorted(parts), draw.randint(1, 5)):
         out += [(b, 0) for b in part(name)]
@@ -318,9 +349,11 @@ def train_field(pages: Sequence[str], seed: int = 4) -> ChainField:
 
 
 def fit_on(pages: DataFrame, id_col: str, html_col: str, rows: int = TRAINING_PAGES) -> ChainField:
-    """Field trained in one task on at most ``rows`` pages of at most ``TRAINING_CHARS`` characters, the first by a hash of their text."""
+    """Field trained in one task on at most ``rows`` different pages of at most ``TRAINING_CHARS`` characters, the first by a hash of their text."""
     usable = pages.select(pages[f"`{html_col}`"].alias("html")).where(F.col("html").isNotNull() & (F.length("html") <= TRAINING_CHARS))
-    sample = usable.withColumn("draw", F.xxhash64("html")).orderBy("draw", "html").limit(rows)
+    drawn = usable.withColumn("draw", F.xxhash64("html"))
+    first = stage(drawn.select("draw").distinct().orderBy("draw").limit(rows))
+    sample = drawn.join(F.broadcast(first), "draw", "left_semi").groupBy("draw").agg(F.min("html").alias("html"))  # copies count once; at most ``rows`` keys
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"draw": [], "html": []}), *batches]).sort_values(["draw", "html"])

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import json
 import random
 import re
 
 import pytest
 from cadastra.llm import chat
-from cadastra.llm.html_text import ChainField, Block, block_features, extract, leaf_blocks, main_text, page_labels, rebuilt, train_field
+from cadastra.llm.html_text import ChainField, Block, block_features, extract, fit_on, leaf_blocks, main_text, page_labels, rebuilt, train_field
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +128,50 @@ def test_odd_turns(spark):
     back = {r.conv_id: ([(t.role, t.text) for t in r.turns], r.loss_text) for r in chat.read_back(chat.format_records(chat.message_records(table))).collect()}
     assert back == {1: ([("user", "q"), ("user", "q"), ("assistant", "")], ""), 2: ([("", "x")], ""), None: ([("user", "y")], "")}
     assert chat.message_records(table.limit(0)).count() == 0
+
+
+# --- pages of other layouts than the table's
+
+SAYS = ("The storm reached the coast late on Monday night, and the harbour was closed.", "Officials said that repairs would take about three weeks.", "Residents were told to boil water.")
+ITEMS = ("Two cups of flour and some salt.", "Butter", "Three eggs", "Stir for ten minutes.", "Bake until golden.")
+CONTAINERS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="content">', "</div>"), ('<div class="post-body">', "</div>"), ('<main><article class="entry">', "</article></main>"), ('<div id="main">', "</div>"))
+BODIES = ("<body>", '<body class="no-sidebar comments-open">', '<body class="has-sidebar menu-fixed">')
+LISTS = {
+    "ul": "<ul>" + "".join(f"<li>{x}</li>" for x in ITEMS) + "</ul>", "ol": "<ol>" + "".join(f"<li>{x}" for x in ITEMS) + "</ol>",
+    "table": "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in ITEMS) + "</table>", "quote": "<blockquote>" + "".join(f"<p>{x}</p>" for x in ITEMS) + "</blockquote>",
+    "heads": "".join(f"<h2>{x}</h2>" for x in ITEMS), "dl": "<dl>" + "".join(f"<dt>{x}</dt>" for x in ITEMS) + "</dl>", "pre": "<pre>" + " ".join(ITEMS) + "</pre>",
+    "links": "<ul>" + "".join(f'<li><a href="x">{x}</a></li>' for x in ITEMS) + "</ul>",
+}
+
+
+@pytest.fixture(scope="module")
+def table_field(spark):
+    return fit_on(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), "page_id", "html")
+
+
+@pytest.mark.parametrize("kind", LISTS)
+def test_lists_tables_and_quotes_of_an_article(table_field, kind):
+    for (begin, end), body in itertools.product(CONTAINERS, BODIES):
+        page = (
+            f"<html><head><title>T</title></head>{body}<header><h1>My Site</h1></header><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+            f'{begin}<h1>Storm over the coast</h1><p>{SAYS[0]}</p>{LISTS[kind]}<p>{SAYS[1]}</p><div class="ad"><p>Buy now.</p></div><p>{SAYS[2]}</p>{end}'
+            '<div class="sidebar"><h3>Popular</h3><p>Popular this week</p></div><section class="comments"><h3>Comments</h3><p>I liked this a lot, thank you.</p></section>'
+            "<form><p>Sign up now</p></form><footer><p>© 2020 My Site</p></footer></body></html>"
+        )
+        assert main_text(page, table_field) == " ".join(["Storm over the coast", SAYS[0], *ITEMS, *SAYS[1:]]), (begin, body)
+
+
+def test_names_of_the_whole_page_say_nothing():
+    for body in BODIES:
+        (block,) = leaf_blocks(f'<html class="nav">{body}<p>Text.</p></body></html>')
+        assert not [f for f in block.path if f.startswith("as:")]
+    (block,) = leaf_blocks('<div class="no-ads article-text" id="story"><p>Text.</p></div>')
+    assert [f for f in block.path if f.startswith("as:")] == ["as:article", "as:story", "as:text"]
+
+
+def test_copies_of_a_page_are_one_page_of_the_sample(spark):
+    pages = [f"<html><body><nav><ul><li>Home</li></ul></nav><article><p>Story {i} is told here.</p></article><div class='x{i % 3}'><p>Other {i}</p></div></body></html>" for i in range(12)]
+    make = lambda rows: spark.createDataFrame([(i, h, "x") for i, h in enumerate(rows)], "page_id long, html string, draw string")
+    once, often = (fit_on(make(rows), "page_id", "html", 8) for rows in (pages, pages + [pages[4], None] * 300))
+    assert once.weights == often.weights and once.transitions == often.transitions
+    assert fit_on(make(pages).limit(0), "page_id", "html").weights
