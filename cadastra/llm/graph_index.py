@@ -25,6 +25,8 @@ BATCH = 256
 SHARD_VECTORS = 4_000
 #: Queries that search a shard in one task.
 QUERY_ROWS = 20_000
+#: Pairs whose scores are worked out at a time.
+PAIRS = 4096
 
 
 class Graph:
@@ -158,17 +160,23 @@ def _extended(vectors: np.ndarray, largest: float) -> np.ndarray:
     return np.concatenate((vectors, rest[:, None]), axis=1)
 
 
-def build_index(nodes: DataFrame, shards: int, largest: float) -> DataFrame:
-    """One row for each shard: its keys, vectors and links, from different vectors (key, v) of a squared norm up to ``largest``."""
+def build_index(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """One row for each shard of the vectors of a length: its members' smallest ids, keys, vectors and links.
+
+    ``nodes`` are different vectors (size, key, first, v); ``sizes`` has (size, shards, largest) of every length.
+    """
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("key")
         own = np.stack(rows["v"].to_numpy()).astype(np.float64)
-        graph = Graph(_extended(own, largest), seed=int(key[0]) + 1)
-        return pd.DataFrame({"shard": [key[0]], "keys": [rows["key"].tolist()], "vectors": [own.tobytes()], "links": [graph.links.tobytes()]})
+        graph = Graph(_extended(own, float(rows["largest"].iloc[0])), seed=int(key[1]) + 1)
+        return pd.DataFrame(
+            {"size": [key[0]], "shard": [key[1]], "largest": [rows["largest"].iloc[0]], "keys": [rows["key"].tolist()], "firsts": [rows["first"].tolist()],
+             "vectors": [own.tobytes()], "links": [graph.links.tobytes()]}
+        )
 
-    dealt = nodes.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "v")
-    return dealt.groupBy("shard").applyInPandas(build, "shard int, keys array<string>, vectors binary, links binary")
+    dealt = nodes.join(sizes, "size").select("size", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int").alias("shard"), "largest", "key", "first", "v")
+    return dealt.groupBy("size", "shard").applyInPandas(build, "size int, shard int, largest double, keys array<string>, firsts array<long>, vectors binary, links binary")
 
 
 def nearest(
@@ -180,8 +188,8 @@ def nearest(
     Queries are the rows whose id is divisible by ``query_step``, candidates all
     other rows of the table; nearness is the inner product in double precision,
     ties go to the smaller id. Null, empty and zero vectors, those with a null
-    or non-finite component and rows with a null id take no part, nor do vectors
-    whose length isn't the commonest one (the smallest of those, for a tie).
+    or non-finite component and rows with a null id take no part. Vectors of
+    different lengths have no inner product: each length is searched by itself.
 
     Equal vectors are one node of a graph, which stands for the ``k + 1``
     smallest ids among them: more can't be in an answer. Every vector is indexed;
@@ -189,51 +197,50 @@ def nearest(
     ``shard_vectors`` different vectors, is one task's work. A repeated id with
     one vector counts once.
     """
-    spark = rows.sparkSession
     vectors = rows.select(rows[f"`{id_col}`"].cast("long").alias("id"), rows[f"`{vector_col}`"].cast("array<double>").alias("v"))
     vectors = vectors.where(F.col("id").isNotNull() & _usable(F.col("v")))
-    sizes = vectors.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    vectors = vectors.where(F.size("v") == sizes["size"]).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256))
+    vectors = vectors.withColumn("size", F.size("v")).withColumn("key", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256))
 
     # Ids of one vector: tasks drop all but the first few before anything is shuffled.
     by_vector = Window.partitionBy("key").orderBy("id")
-    members = stage(vectors.select("key", "v", "id").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1))
-    nodes = members.where(F.col("n") == 1).select("key", "v")
-    sums = nodes.agg(F.count("*").alias("n"), F.max(square).alias("largest")).first()
-    shards = max(1, round(sums["n"] / shard_vectors))
-    largest = float(sums["largest"])
-
-    queries = vectors.where(F.col("id") % query_step == 0).select("key", "v").distinct()
-    parts = max(1, -(-queries.count() // QUERY_ROWS))
-    graphs = stage(build_index(nodes, shards, largest)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), "key", "v"
-    )
-    schema = T.StructType([T.StructField("query", T.StringType()), T.StructField("found", T.StringType()), T.StructField("score", T.DoubleType())])
+    members = stage(vectors.select("key", "size", "v", "id").distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1))
+    nodes = members.where(F.col("n") == 1).select("size", "key", F.col("id").alias("first"), "v")
+
+    queries = vectors.where(F.col("id") % query_step == 0).select("size", "key", "v").distinct()
+    asked = queries.groupBy("size").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(QUERY_ROWS))).cast("int").alias("parts"))
+    sizes = nodes.groupBy("size").agg(F.greatest(F.lit(1), F.round(F.count("*") / F.lit(shard_vectors))).cast("int").alias("shards"), F.max(square).alias("largest"))
+    sizes = stage(sizes.join(asked, "size"))  # a length that nobody asks for needs no graph
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    graphs = stage(build_index(nodes, sizes)).join(sizes.select("size", "parts"), "size").withColumn("part", each("parts")).drop("parts")
+    asked = queries.join(sizes, "size").select("size", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"), each("shards").alias("shard"), "key", "v")
+    schema = T.StructType([T.StructField("query", T.StringType()), T.StructField("found", T.StringType()), T.StructField("first", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def search_shard(key: tuple, stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query": pd.Series(dtype=str), "found": pd.Series(dtype=str), "score": pd.Series(dtype=float)})]
+        out = [pd.DataFrame({"query": pd.Series(dtype=str), "found": pd.Series(dtype=str), "first": pd.Series(dtype=np.int64), "score": pd.Series(dtype=float)})]
         if len(stored) and len(wanted):
             names = np.array(stored["keys"][0], object)
+            firsts = np.array(stored["firsts"][0], np.int64)
             own = np.frombuffer(stored["vectors"][0], np.float64).reshape(len(names), -1)
-            graph = Graph(_extended(own, largest), np.frombuffer(stored["links"][0], np.int32).reshape(len(names), DEGREE))
+            graph = Graph(_extended(own, float(stored["largest"][0])), np.frombuffer(stored["links"][0], np.int32).reshape(len(names), DEGREE))
             for start in range(0, len(wanted), BATCH):
                 part = wanted.iloc[start : start + BATCH]
                 exact = np.stack(part["v"].to_numpy()).astype(np.float64)
                 padded = np.concatenate((exact, np.zeros((len(exact), 1))), axis=1)
                 found, _ = graph.search(padded, max(beam, k + 1))
-                i, j = np.nonzero(found[:, : k + 1] >= 0)
+                i, j = np.nonzero(found >= 0)
                 hit = found[i, j]
                 # One pair after another, so that equal vectors have equal scores wherever they are.
-                out.append(pd.DataFrame({"query": part["key"].to_numpy()[i], "found": names[hit], "score": (exact[i] * own[hit]).sum(axis=1)}))
+                scores = np.concatenate([(exact[i[a : a + PAIRS]] * own[hit[a : a + PAIRS]]).sum(axis=1) for a in range(0, len(i), PAIRS)])
+                order = np.lexsort((firsts[hit], -scores, i))
+                place = np.arange(len(i)) - np.searchsorted(i[order], i[order])
+                best = order[place <= k]
+                out.append(pd.DataFrame({"query": part["key"].to_numpy()[i[best]], "found": names[hit[best]], "first": firsts[hit[best]], "score": scores[best]}))
         return pd.concat(out)
 
-    found = graphs.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInPandas(search_shard, schema)
-    # Of all shards, the k + 1 best vectors of a query: its own may be among them.
-    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "found"))).where(F.col("n") <= k + 1)
+    found = graphs.groupBy("size", "shard", "part").cogroup(asked.groupBy("size", "shard", "part")).applyInPandas(search_shard, schema)
+    # Of all shards, the k + 1 best vectors of a query: its own may be among them. Equal scores go by a vector's smallest id.
+    best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "first"))).where(F.col("n") <= k + 1)
     near = best.select("query", F.col("found").alias("key"), "score").join(members.select("key", "id"), "key").select("query", "id", "score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
