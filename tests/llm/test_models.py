@@ -10,7 +10,7 @@ import pytest
 from cadastra.llm.graph_index import nearest
 from cadastra.llm.mixing import _knapsack, fill_budget, mix
 from cadastra.llm.resampling import best_cut, features, resample, top_k
-from cadastra.llm.toxicity import noisy_or, score, sentences
+from cadastra.llm.toxicity import BUCKETS, fit, noisy_or, original_spans, score, sentence_scores, sentences
 from cadastra.llm.url_filter import judge_urls, rule_table
 from llm_odd import ODD
 
@@ -78,7 +78,8 @@ def test_sentences_cover_the_text():
 def test_noisy_or():
     p = np.array([0.1, 0.5, 0.2])
     assert noisy_or(p) == pytest.approx(1 - 0.9 * 0.5 * 0.8)
-    assert noisy_or(np.empty(0)) == 0.0 and noisy_or(np.array([1.0, 1.0])) <= 1.0
+    assert noisy_or(p, 0.3) == pytest.approx(1 - 0.7 * 0.9 * 0.5 * 0.8)
+    assert noisy_or(np.empty(0)) == 0.0 and noisy_or(np.empty(0), 0.3) == pytest.approx(0.3) and noisy_or(np.array([1.0, 1.0])) <= 1.0
 
 
 def test_toxic_sentences_are_found(spark, documents):
@@ -98,11 +99,52 @@ def test_toxic_sentences_are_found(spark, documents):
         assert got[i].predicted == y, (i, got[i])
         if y:
             assert any("you are a" in s.text for s in got[i].offending)
-    assert got[5003].score == 0.0 and got[None].held_out is False
+    text = dict(rows)
+    for i in toxic:
+        assert all(text[i][s.start : s.start + len(s.text)] == s.text for s in got[i].offending)
+    assert 0 <= got[5003].score < 0.05 and not got[5003].offending and got[None].held_out is False
     assert score(documents([]), labels).count() == 0
     assert {r.predicted for r in score(documents(ODD), labels.limit(0)).collect()} == {0}
 
 
+def test_long_clean_texts_stay_clean():
+    draw = random.Random(5)
+    words = [f"{draw.choice('abcdefghij')}{k}x" for k in range(400)]
+    say = lambda: " ".join(draw.choices(words, k=9)) + ". "
+    insult = lambda: f"you are a {draw.choice(['moronic', 'stupid'])} {draw.choice(words)}. "
+    clean, bad = ["".join(say() for _ in range(6)) for _ in range(400)], ["".join(say() for _ in range(5)) + insult() for _ in range(150)]
+    weights, bias, leak = fit(clean + bad, [0] * len(clean) + [1] * len(bad))
+    used = weights != 0
+    whole = lambda text: noisy_or(sentence_scores(text, weights, bias, used), leak)
+    long = "".join(say() for _ in range(10_000))
+    assert whole(long) < 0.3 and whole(long + insult()) > 0.3
+    p = sentence_scores(long + insult(), weights, bias, used)
+    assert int(np.argmax(p)) == 10_000
+    rest = 1 - leak
+    for x in p:
+        rest *= 1 - x
+    assert noisy_or(p, leak) == pytest.approx(1 - rest, abs=1e-9)
+    assert sentence_scores("", weights, bias, used).tolist() == [] and not sentence_scores("qq qq.", np.zeros(BUCKETS), 5.0, np.zeros(BUCKETS, bool)).any()
+
+
+def test_spans_of_the_original_text():
+    for text in ["Ab. Cd! EF", "\u0130stanbul. \u0130S. UP", "\u023a\u023a. Xy. \u00c9t\u00c9", "\u0130" * 3000 + ". End"]:
+        lowered = text.lower()
+        spans = sentences(lowered.encode())
+        places = original_spans(text, lowered, spans)
+        assert "".join(text[a:b] for a, b in places) == text
+        if len(text) < 100:
+            assert [text[a:b].lower() for a, b in places] == [lowered.encode()[a:b].decode() for a, b in spans]
+
+
+def test_one_labelled_id_on_many_rows(spark, documents):
+    rows = [(i, f"you are a stupid thing {i}. more words") for i in range(40)] + [(100 + i, f"a calm day {i}. more words") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id long, toxic int")
+    once = {(r.doc_id, r.score) for r in score(documents(rows), labels).collect()}
+    often = {(r.doc_id, r.score) for r in score(documents(rows + [rows[3]] * 500), labels).collect()}
+    assert once == often
+
+
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = score(docs, labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
@@ -175,6 +217,19 @@ def test_recall_and_rules_of_neighbours(spark):
     assert nearest(table.limit(0)).count() == 0
 
 
+def test_equal_scores_and_other_lengths(spark):
+    draw = np.random.default_rng(8)
+    vectors = {int(i): draw.integers(-1, 2, 4 if i % 3 else 3).astype(float) for i in draw.permutation(400)}
+    vectors = {i: v for i, v in vectors.items() if v.any()} | {20: np.array([2.0, 1.0, 0, 0, 5.0])}
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in vectors.items()], "vec_id long, embedding array<double>, size int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest(table, shard_vectors=30).collect())
+    want = []
+    for q in (q for q in vectors if q % 20 == 0):
+        scores = sorted((-float(vectors[q] @ v), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:20], 1)]
+    assert got == sorted(want)
+
+
 # --- mixing
 
 
