@@ -14,6 +14,9 @@ One that is far from its leader (a similarity under 60 %) can't be similar to on
 that reached it, for the distances obey the triangle inequality. So only lists
 with two documents that are far from the leader, or one that is neither, are
 looked at again: with the leader that has most links, then without leaders.
+Without leaders, the documents left are dealt out to tiles of a bounded weight.
+Two tiles with a list in common meet as one group, where the orders' prefixes
+choose what is compared; only links leave it.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ COUNTED = 4_000_000
 LOCALLY_FREQUENT = 4
 #: Frequent shingles that every task is told, the most frequent first. More of them never change a result.
 FREQUENT = 400_000
+#: Shingles, and eighths of the bytes of texts, of the documents in a tile.
+TILE = 1 << 17
 #: Documents that have one leader in the list of a frequent shingle; a longer list has several.
 LIST_ROWS = 2048
 
@@ -305,6 +310,90 @@ def _open(pairs: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
     return far.unionByName(members).distinct()
 
 
+def _tiles(lists: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, tile, band): documents of similar sizes that share their longest list, dealt out by a hash to tiles of about ``TILE``."""
+    home = lists.groupBy("node").agg(F.max(F.struct("members", "token")).getField("token").alias("home"), F.first("n").alias("n"))
+    weighed = home.join(held.select("node", F.octet_length("text").alias("bytes")), "node")
+    weighed = weighed.select("node", "home", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).alias("band"), (F.col("n") + F.col("bytes") / 8).alias("weight"))
+    many = weighed.groupBy("home", "band").agg(F.ceil(F.sum("weight") / TILE).alias("tiles"))
+    return weighed.join(many, ["home", "band"]).select("node", F.xxhash64("home", "band", F.pmod(F.xxhash64("node"), "tiles")).alias("tile"), "band")
+
+
+class _Postings:
+    """Which of some documents hold a shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        shingles = np.concatenate([np.empty(0, np.uint64), *sets])
+        order = np.argsort(shingles, kind="stable")
+        self.shingles = shingles[order]
+        self.holder = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+        self.documents = len(sets)
+
+    def counts(self, shingles: np.ndarray) -> np.ndarray:
+        """How many of these shingles each document holds."""
+        first = np.searchsorted(self.shingles, shingles, "left")
+        n = np.searchsorted(self.shingles, shingles, "right") - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.bincount(self.holder[at], minlength=self.documents)
+
+
+def _tile_links(orders, group: pa.Table) -> pa.Table:
+    """Links between the documents of two tiles (or of one), of different roots.
+
+    Pairs must share a prefix shingle under the first order, and as many as
+    similar sets would under each of the others; the whole sets of what is left
+    are compared.
+    """
+    own, texts = orders.value, group["text"].to_pylist()
+    tile, node, root = (group[c].to_numpy() for c in ("tile", "node", "root"))
+    sets = [x for _, x in shingle_sets(texts)]
+    sizes = np.array([len(x) for x in sets])
+    levels = [own.level(x) for x in sets]
+    prefixes = [[x[own.prefix(x, v, k)] for x, v in zip(sets, levels)] for k in (0, *OTHER_ORDERS)]
+    alone = tile.min() == tile.max()
+    left = np.arange(len(sets)) if alone else np.flatnonzero(tile == tile.min())
+    right = left if alone else np.flatnonzero(tile != tile.min())
+    tables = [_Postings([p[j] for j in right]) for p in prefixes]
+    whole, m = _Postings([sets[j] for j in right]), sizes[right]
+    found: list[tuple[int, int]] = []
+    for i in left:
+        n = sizes[i]
+        going = (root[right] != root[i]) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        if alone:
+            going &= right > i
+        shared = -(-PERCENT * (n + m) // (100 + PERCENT))
+        for prefix, table in zip(prefixes, tables):
+            if going.any():
+                length = np.array([len(prefix[j]) for j in right]) - m
+                least = np.maximum(1, shared + np.minimum(len(prefix[i]) - n, length))
+                going &= table.counts(prefix[i]) >= least
+        if going.any():
+            both = whole.counts(sets[i])
+            for j in np.flatnonzero(going & (100 * both >= PERCENT * (n + m - both))):
+                found.append((int(node[i]), int(node[right[j]])))
+    return pa.table({"node": pa.array([a for a, _ in found], pa.int64()), "to": pa.array([b for _, b in found], pa.int64())})
+
+
+def _links_without_leaders(lists: DataFrame, held: DataFrame, orders) -> DataFrame:
+    """(node, to) of the links between documents of different roots that have a list in common; lists are (token, node, n, root).
+
+    Tiles are paired, not documents: a list gives the pairs of its tiles in
+    neighbouring bands of sizes, each pair once over all lists. A document goes
+    to as many groups as its tile has partners, and a group holds two tiles.
+    """
+    several = lists.groupBy("token").agg(F.count("*").alias("members"), (F.min("root") != F.max("root")).alias("apart")).where("apart")
+    lists = stage(lists.join(several.select("token", "members"), "token"))
+    tiles = stage(_tiles(lists, held))
+    on = lists.select("token", "node").join(tiles, "node").select("token", "tile", "band").distinct()
+    other = on.select("token", F.col("tile").alias("y"), F.col("band").alias("y_band"))
+    met = on.withColumnRenamed("tile", "x").join(other, "token").where((F.col("x") <= F.col("y")) & (F.abs(F.col("band") - F.col("y_band")) <= 1))
+    met = stage(met.select("x", "y").distinct())
+    ends = met.select(F.col("x").alias("tile"), "x", "y").unionByName(met.where("x != y").select(F.col("y").alias("tile"), "x", "y"))
+    told = lists.select("node", "root").distinct().join(tiles, "node").join(held.select("node", "text"), "node")
+    dealt = ends.join(told, "tile").select("x", "y", "tile", "node", "root", "text")
+    return dealt.groupBy("x", "y").applyInArrow(lambda group: _tile_links(orders, group), "node long, to long").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles and component_id of every row.
 
@@ -350,13 +439,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             pairs = stage(_star(_led(known, F.struct("degree", "node", "n"))))
         else:
             lists = still.select(F.coalesce("token", "list").alias("token"), "node", "n").distinct().join(roots, "node", "left")
-            lists = stage(lists.withColumn("root", F.coalesce("root", "node")))
-            others = lists.select("token", F.col("node").alias("to"), F.col("n").alias("to_n"), F.col("root").alias("to_root"))
-            both = lists.join(others, "token").where((F.col("node") < F.col("to")) & (F.col("root") != F.col("to_root")) & _similar_sizes(F.col("n"), F.col("to_n")))
-            pairs = stage(both.select("node", "n", "to", "to_n").distinct())
+            found = stage(_links_without_leaders(lists.withColumn("root", F.coalesce("root", "node")), held, orders))
+            roots = _roots(found, roots)
+            break
         judged = _judged(pairs, held)
         links = links.unionByName(judged.where("link").select("node", "to"))
-        roots = _roots(links)
+        roots = _roots(judged.where("link").select("node", "to"), roots)
 
     named = nodes.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -366,5 +454,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _roots(links: DataFrame) -> DataFrame:
+def _roots(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Roots under these links and those that made the known roots."""
+    if known is not None:
+        links = links.unionByName(known.select("node", F.col("root").alias("to")))
     return components(links.select(F.col("node").alias("u"), F.col("to").alias("v")))

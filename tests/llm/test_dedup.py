@@ -152,3 +152,29 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(200, 201), (201, 200), (300, 300)], "u long, v long")
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(n + 1)}, 200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("tile", [1 << 17, 600])
+def test_links_without_leaders(spark, documents, monkeypatch, tile):
+    """Against all pairs on one list, with one tile for a size and with many."""
+    import cadastra.llm.ngram_join as join
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(join, "TILE", tile)
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(draw.randint(1, 5)):
+            words[draw.randrange(60)] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(words[: draw.randint(44, 60)])))
+    sets = [shingles(t) for _, t in rows]
+    held = documents(rows).select(F.col("doc_id").alias("node"), "text")
+    lists = documents(rows).select(F.lit(7).alias("token"), F.col("doc_id").alias("node"), F.lit(0).alias("n"), (F.col("doc_id") % 80).alias("root"))
+    lists = lists.drop("n").join(spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "node long, n int"), "node")
+    orders = spark.sparkContext.broadcast(join.Orders(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    got = [tuple(sorted(r)) for r in join._links_without_leaders(lists, held, orders).collect()]
+    want = sorted((a, b) for b in range(90) for a in range(b) if a % 80 != b % 80 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert want and sorted(got) == want
