@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _FOLDERS: set[str] = set()
 
 
@@ -73,9 +74,15 @@ def stage(df: DataFrame) -> DataFrame:
     This cuts the lineage at a table that outlives executors, and gives the
     optimizer the real size of the result, so that a later join broadcasts it
     only when it is below ``spark.sql.autoBroadcastJoinThreshold`` and falls
-    back to a shuffled, skew-split join when it is not.
+    back to a shuffled, skew-split join when it is not. The shuffle files of the
+    write are removed when it has ended, for nobody reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
