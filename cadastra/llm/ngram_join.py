@@ -38,10 +38,14 @@ PERCENT = 80
 FAR_PERCENT = 2 * PERCENT - 100
 #: Share of a set that the other orders' prefixes have.
 OTHER_PREFIX = 50
+#: Least bits for each shingle of a prefix (or of a whole set) in its bitmap.
+BITS_PER_SHINGLE = 4
 #: Bits of the filter that keeps texts without candidates from being shuffled.
 FILTER_BITS = 1 << 26
 #: The orders after the first; each has its own hash.
 OTHER_ORDERS = (1, 2)
+#: What is held against each other before texts are: an order, and the share of a set that its prefix has.
+FILTERS = (*((k, OTHER_PREFIX) for k in OTHER_ORDERS), (0, 100))
 #: Shingles a task counts together, and the documents among them from which a shingle is reported as frequent.
 COUNTED = 4_000_000
 LOCALLY_FREQUENT = 4
@@ -203,9 +207,18 @@ def _star(led: DataFrame) -> DataFrame:
     return pairs.groupBy(*pair).agg(F.max("across").alias("across"))
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of these shingles in a power of two of 64-bit words; folding its halves gives the bitmap of half the words."""
+    words = 1 << max(0, (BITS_PER_SHINGLE * len(shingles) - 1) // 64).bit_length()
+    out = np.zeros(words, np.uint64)
+    mixed = mix(shingles, 17)
+    np.bitwise_or.at(out, (mixed >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (mixed & np.uint64(63)))
+    return out
+
+
 def _candidates(texts: DataFrame, orders) -> DataFrame:
-    """(node, text, and a prefix for each other order, 32 bits of a shingle) from (node, text) of candidates."""
-    names = [f"order{k}" for k in OTHER_ORDERS]
+    """(node, text, and a bitmap for each of ``FILTERS``) from (node, text) of candidates."""
+    names = [f"bits{i}" for i in range(len(FILTERS))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = orders.value
@@ -218,12 +231,23 @@ def _candidates(texts: DataFrame, orders) -> DataFrame:
                     if len(shingles) and _node(shingles) == wanted[i]:
                         keep.append(i)
                         levels = own.level(shingles)
-                        for values, k in zip(found, OTHER_ORDERS):
-                            values.append(shingles[own.prefix(shingles, levels, k)].astype(np.uint32).astype(np.int32))
+                        for values, (order, percent) in zip(found, FILTERS):
+                            values.append(bitmap(shingles if percent == 100 else shingles[own.prefix(shingles, levels, order)]).view(np.int64))
                 kept = part.take(pa.array(keep, pa.int32()))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *[pa.array(v, pa.list_(pa.int32())) for v in found]], names=["node", "text", *names])
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), *[pa.array(v, pa.list_(pa.int64())) for v in found]], names=["node", "text", *names])
+
+    return texts.mapInArrow(run, "node long, text string, " + ", ".join(f"{n} array<long>" for n in names))
+
+
+def _only_in(a: Column, b: Column) -> Column:
+    """Bits of one bitmap that are not in the other, at the words of the smaller: so many shingles at least are in the first alone."""
+    words = F.least(F.size(a), F.size(b))
+
+    def folded(x: Column) -> Column:
+        return F.when(F.size(x) > words, F.transform(F.slice(x, F.lit(1), words), lambda v, i: v.bitwiseOR(F.get(x, i + words)))).otherwise(x)
 
-    return texts.mapInArrow(run, "node long, text string, " + ", ".join(f"{n} array<int>" for n in names))
+    alone = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(alone, F.lit(0), lambda total, x: total + x)
 
 
 def _shared(percent: int, n: Column, m: Column) -> Column:
@@ -236,32 +260,31 @@ def _similar_sizes(n: Column, m: Column) -> Column:
 
 
 def _judged(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(node, to, near, link) of the pairs (node, n, to, to_n).
+    """(node, to, near, link) of the pairs (node, n, to, to_n), each given once.
 
     Sets that share s shingles share at least s less what their prefixes leave
-    out of either of them under each order. Where a pair shares less than sets
-    of ``FAR_PERCENT`` would, it isn't near; where less than similar ones would,
-    it isn't compared. What is left is compared by the whole texts. Prefixes
-    hold 32 bits of each shingle; the slack is far above the number of those
-    that can fall together.
+    out of either of them under each order, and s of their whole sets. A bit in
+    one bitmap and not in the other proves that a shingle is missing. Where a pair
+    shares less than sets of ``FAR_PERCENT`` would, it isn't near; where less
+    than similar ones would, it isn't compared. What is left is compared by the
+    whole texts.
     """
     n, m = F.col("n"), F.col("to_n")
-    size = [F.ceil(F.lit(OTHER_PREFIX / 100) * x) for x in (n, m)]
-    slack = 8 + F.greatest(*size) * F.greatest(*size) / F.lit(float(1 << 30))
-    left = F.least(size[0] - n, size[1] - m) - slack
-    flags = ["near", "close"]
-    going = pairs.select("node", "to", "n", "to_n", (_shared(FAR_PERCENT, n, m) <= F.least(n, m)).alias("near"), _similar_sizes(n, m).alias("close")).distinct()
-    judged = going.where(~(F.col("near") | F.col("close"))).select("node", "to", *flags)
-    for k in OTHER_ORDERS:
-        a, b = held.select("node", F.col(f"order{k}").alias("a")), held.select(F.col("node").alias("to"), F.col(f"order{k}").alias("b"))
-        both = going.where(F.col("near") | F.col("close")).join(a, "node").join(b, "to")
-        common = left - F.size(F.array_intersect("a", "b"))  # what is missing, but for the sizes
-        near = F.col("near") & (common + _shared(FAR_PERCENT, n, m) <= 0)
-        close = F.col("close") & (common + _shared(PERCENT, n, m) <= 0)
-        going = stage(both.select("node", "to", "n", "to_n", near.alias("near"), close.alias("close")).distinct())
-        judged = judged.unionByName(going.where(~(F.col("near") | F.col("close"))).select("node", "to", *flags))
-    judged = judged.unionByName(going.where(F.col("near") | F.col("close")).select("node", "to", *flags))
-    filtered = judged.groupBy("node", "to").agg(F.max("near").alias("near"), F.max("close").alias("close"))
+    near, close = _shared(FAR_PERCENT, n, m) <= F.least(n, m), _similar_sizes(n, m)
+    sized = pairs.select("node", "to", "n", "to_n", near.alias("near"), close.alias("close"))
+    bits = [f"bits{i}" for i in range(len(FILTERS))]
+    a, b = held.select("node", F.struct(*bits).alias("a")), held.select(F.col("node").alias("to"), F.struct(*bits).alias("b"))
+    both = sized.where("near or close").join(a, "node").join(b, "to")
+    near, close = F.col("near"), F.col("close")
+    for name, (_, percent) in zip(bits, FILTERS):
+        size = [F.ceil(F.lit(percent / 100) * x) for x in (n, m)]
+        one, other = F.col(f"a.{name}"), F.col(f"b.{name}")
+        common = F.least(size[0] - _only_in(one, other), size[1] - _only_in(other, one))
+        spare = common - F.least(size[0] - n, size[1] - m)
+        near = near & (spare >= _shared(FAR_PERCENT, n, m))
+        close = close & (spare >= _shared(PERCENT, n, m))
+    filtered = stage(both.select("node", "to", near.alias("near"), close.alias("close")))
+    filtered = filtered.unionByName(sized.where("not (near or close)").select("node", "to", "near", "close"))
     wanted = filtered.where("close").select("node", "to")
     whole = wanted.join(held.select("node", F.col("text").alias("a")), "node").join(held.select(F.col("node").alias("to"), F.col("text").alias("b")), "to")
 

@@ -178,3 +178,22 @@ def test_links_without_leaders(spark, documents, monkeypatch, tile):
     got = [tuple(sorted(r)) for r in join._links_without_leaders(lists, held, orders).collect()]
     want = sorted((a, b) for b in range(90) for a in range(b) if a % 80 != b % 80 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
     assert want and sorted(got) == want
+
+
+def test_bitmaps_never_hide_what_is_shared(spark):
+    """Bits in one bitmap alone are at most the shingles in that set alone, whatever the sizes."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cadastra.llm.ngram_join import _only_in, bitmap
+
+    draw = np.random.default_rng(2)
+    rows, want = [], []
+    for n, m in ((1, 1), (16, 17), (20, 33), (100, 130), (129, 200), (1000, 1025)):
+        shared = draw.integers(0, 2**63, min(n, m) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([shared, draw.integers(0, 2**63, k - len(shared), dtype=np.uint64)])) for k in (n, m))
+        rows.append((bitmap(a).view(np.int64).tolist(), bitmap(b).view(np.int64).tolist()))
+        want.append((len(np.setdiff1d(a, b)), len(np.setdiff1d(b, a))))
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(_only_in(F.col("a"), F.col("b")), _only_in(F.col("b"), F.col("a"))).collect()
+    for (x, y), (u, v) in zip(got, want):
+        assert u * 0.6 <= x <= u and v * 0.6 <= y <= v
