@@ -378,6 +378,7 @@ def _tile_links(orders, group: pa.Table) -> pa.Table:
     right = left if alone else np.flatnonzero(tile != tile.min())
     tables = [_Postings([p[j] for j in right]) for p in prefixes]
     whole, m = _Postings([sets[j] for j in right]), sizes[right]
+    lacking = [np.array([len(p[j]) for j in right]) - m for p in prefixes]
     found: list[tuple[int, int]] = []
     for i in left:
         n = sizes[i]
@@ -385,10 +386,9 @@ def _tile_links(orders, group: pa.Table) -> pa.Table:
         if alone:
             going &= right > i
         shared = -(-PERCENT * (n + m) // (100 + PERCENT))
-        for prefix, table in zip(prefixes, tables):
+        for prefix, table, lack in zip(prefixes, tables, lacking):
             if going.any():
-                length = np.array([len(prefix[j]) for j in right]) - m
-                least = np.maximum(1, shared + np.minimum(len(prefix[i]) - n, length))
+                least = np.maximum(1, shared + np.minimum(len(prefix[i]) - n, lack))
                 going &= table.counts(prefix[i]) >= least
         if going.any():
             both = whole.counts(sets[i])
@@ -402,18 +402,19 @@ def _links_without_leaders(lists: DataFrame, held: DataFrame, orders) -> DataFra
 
     Tiles are paired, not documents: a list gives the pairs of its tiles in
     neighbouring bands of sizes, each pair once over all lists. A document goes
-    to as many groups as its tile has partners, and a group holds two tiles.
+    to the groups of those tiles with which it has a list in common itself, and a
+    group holds at most two tiles.
     """
     several = lists.groupBy("token").agg(F.count("*").alias("members"), (F.min("root") != F.max("root")).alias("apart")).where("apart")
     lists = stage(lists.join(several.select("token", "members"), "token"))
     tiles = stage(_tiles(lists, held))
-    on = lists.select("token", "node").join(tiles, "node").select("token", "tile", "band").distinct()
-    other = on.select("token", F.col("tile").alias("y"), F.col("band").alias("y_band"))
-    met = on.withColumnRenamed("tile", "x").join(other, "token").where((F.col("x") <= F.col("y")) & (F.abs(F.col("band") - F.col("y_band")) <= 1))
-    met = stage(met.select("x", "y").distinct())
-    ends = met.select(F.col("x").alias("tile"), "x", "y").unionByName(met.where("x != y").select(F.col("y").alias("tile"), "x", "y"))
-    told = lists.select("node", "root").distinct().join(tiles, "node").join(held.select("node", "text"), "node")
-    dealt = ends.join(told, "tile").select("x", "y", "tile", "node", "root", "text")
+    listed = stage(lists.select("token", "node", "root").join(tiles, "node"))
+    on = listed.groupBy("token", "tile", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    other = on.select("token", *[F.col(c).alias(f"other_{c}") for c in ("tile", "band", "low", "high")])
+    met = on.join(other, "token").where((F.abs(F.col("band") - F.col("other_band")) <= 1) & ((F.col("low") != F.col("other_high")) | (F.col("high") != F.col("other_low"))))
+    met = stage(met.select("token", "tile", F.least("tile", "other_tile").alias("x"), F.greatest("tile", "other_tile").alias("y")))
+    told = stage(listed.join(met, ["token", "tile"]).select("x", "y", "tile", "node", "root").distinct())
+    dealt = told.join(held.select("node", "text"), "node")
     return dealt.groupBy("x", "y").applyInArrow(lambda group: _tile_links(orders, group), "node long, to long").distinct()
 
 
