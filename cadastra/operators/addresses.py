@@ -26,7 +26,7 @@ from cadastra.operators.checks import require_columns
 from cadastra.operators.facets import ALL_YEARS
 from cadastra.operators.ranges import number_blocks, range_blocks, top_level
 from cadastra.operators.requests import errors
-from cadastra.session import shared_folder, stage
+from cadastra.session import shared_folder, shuffled, stage
 from cadastra.sources.delimited import optional_column
 
 DEFAULT_LIMIT = 10
@@ -121,14 +121,15 @@ def containing_texts(patterns: DataFrame, pattern: str, texts: DataFrame, text:
     split = asked.select(pattern).distinct().withColumn("_gram", F.explode(grams(pattern, longest)))
     # A gram no text has rules the pattern out; otherwise take the rarest.
     rarest = (
-        split.join(frequency, "_gram", "left")
+        split.join(shuffled(frequency), "_gram", "left")
         .groupBy(pattern)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_texts", F.lit(0)), "_gram")).alias("_gram"))
     )
     rarest = stage(rarest)
     # Texts are listed in their places under the grams that some pattern looks up only.
-    indexed = places.join(spelt.join(rarest.select("_gram").distinct(), "_gram", "left_semi"), text)
-    pairs = asked.join(rarest, pattern).join(indexed, [*on, "_gram"])
+    looked_up = spelt.join(shuffled(rarest.select("_gram").distinct()), "_gram", "left_semi")
+    indexed = places.join(shuffled(looked_up), text)
+    pairs = asked.join(shuffled(rarest), pattern).join(shuffled(indexed), [*on, "_gram"])
     return pairs.where(F.contains(F.col(text), F.col(pattern))).select(*on, pattern, text)
 
 
@@ -249,13 +250,13 @@ def _of_years(index: AddressIndex, wanted: DataFrame) -> DataFrame:
 
 def asked_streets(index: AddressIndex, nodes: DataFrame) -> DataFrame:
     """The streets of the asked nodes; the index is read by its buckets, only the nodes move."""
-    held = index.streets.join(_of_years(index, nodes), NODE)
+    held = index.streets.join(shuffled(_of_years(index, nodes)), NODE)
     return held.select(F.col("_asked").alias("_year"), "level", "block", "street").distinct()
 
 
 def asked_places(index: AddressIndex, places: DataFrame) -> DataFrame:
     """The row ids of the asked places; a place of all years has the first ones of every year's."""
-    held = index.places.join(_of_years(index, places), PLACE).withColumn("_year", F.col("_asked"))
+    held = index.places.join(shuffled(_of_years(index, places)), PLACE).withColumn("_year", F.col("_asked"))
     own = held.where(F.col("_year") != ALL_YEARS).select(*PLACE, "ids")
     merged = held.where(F.col("_year") == ALL_YEARS).groupBy(*PLACE).agg(F.flatten(F.collect_list("ids")).alias("ids"))  # one list a year
     return own.unionByName(merged.withColumn("ids", F.slice(F.sort_array("ids"), 1, index.max_limit)))
@@ -302,18 +303,18 @@ def resolve_addresses(
     node, place = NODE, PLACE
     spots = number_blocks(queries.select("_year", "_number").distinct(), "_number", index.top)
     known = stage(asked_streets(index, spots.select(*node).distinct()))
-    spots = spots.join(known.select(*node).distinct(), node, "left_semi")  # blocks without rows end here
+    spots = spots.join(shuffled(known.select(*node).distinct()), node, "left_semi")  # blocks without rows end here
 
     # The streets a query may use: exact, containing, any.
-    nodes = stage(queries.join(spots, ["_year", "_number"]))
-    exact = nodes.withColumn("street", F.col("_street")).join(known, [*node, "street"], "left_semi")
+    nodes = stage(queries.join(shuffled(spots), ["_year", "_number"]))
+    exact = nodes.withColumn("street", F.col("_street")).join(shuffled(known), [*node, "street"], "left_semi")
     exact = stage(exact.select(*query, "level", "block", "street", F.lit(0).alias("_tier")))
-    rest = nodes.join(exact.select(*query).distinct(), query, "left_anti")
+    rest = nodes.join(shuffled(exact.select(*query).distinct()), query, "left_anti")
     pairs = containing_texts(rest, "_street", known, "street", node)
-    spelled = rest.select(*node, "_number", "_street").distinct().join(pairs, [*node, "_street"])
-    inside = queries.join(spelled, ["_year", "_number", "_street"])
+    spelled = rest.select(*node, "_number", "_street").distinct().join(shuffled(pairs), [*node, "_street"])
+    inside = queries.join(shuffled(spelled), ["_year", "_number", "_street"])
     inside = stage(inside.select(*query, "level", "block", "street", F.lit(1).alias("_tier")))
-    loose = rest.join(inside.select(*query).distinct(), query, "left_anti")
+    loose = rest.join(shuffled(inside.select(*query).distinct()), query, "left_anti")
     loose = loose.select(*query, "level", "block", F.lit("").alias("street"), F.lit(2).alias("_tier"))
     ways = exact.unionByName(inside).unionByName(loose).withColumn("any_street", F.col("_tier") == 2)
     areas = _postal_scopes(F.col("_postal"), F.col("_fsa"))
@@ -323,7 +324,7 @@ def resolve_addresses(
     # The most precise postal area that holds rows, and the first of them.
     best = stage(asked_places(index, ways.select(*place).distinct()))
     per_query = Window.partitionBy(*query)
-    held = ways.join(best, place).withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
+    held = ways.join(shuffled(best), place).withColumn("_best", F.min("scope").over(per_query)).where(F.col("scope") == F.col("_best"))
     hits = held.select(*query, "_tier", "scope", F.explode("ids").alias("ROW_ID"))
     ranked = hits.withColumn("candidate_id", F.row_number().over(per_query.orderBy("ROW_ID")))
     ranked = ranked.where(F.col("candidate_id") <= index.max_limit)
@@ -339,8 +340,8 @@ def resolve_addresses(
             "ROW_ID",
         )
     )
-    answered = asked.join(ranked, query).where(F.col("candidate_id") <= F.col("_limit"))
-    answered = index.rows.join(answered, "ROW_ID")
+    answered = asked.join(shuffled(ranked), query).where(F.col("candidate_id") <= F.col("_limit"))
+    answered = index.rows.join(shuffled(answered), "ROW_ID")
     return answered.select(
         request_id,
         "candidate_id",
@@ -357,7 +358,7 @@ def lookup_outcome(requests: DataFrame, candidates: DataFrame, request_id: str =
     found = candidates.groupBy(request_id).agg(
         F.count(F.lit(1)).alias("match_count"), F.first("postal_match_mode").alias("postal_match_mode")
     )
-    out = requests.select(request_id).join(found, request_id, "left")
+    out = requests.select(request_id).join(shuffled(found), request_id, "left")
     count = F.coalesce("match_count", F.lit(0))
     return out.select(
         request_id,

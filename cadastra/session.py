@@ -68,6 +68,17 @@ def observed_stage(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[s
     return staged, seen.get
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never sent whole through the driver.
+
+    The optimizer measures a written or shuffled side by its compressed bytes.
+    One that grows with the requests, in few different values, stays below
+    ``spark.sql.autoBroadcastJoinThreshold`` with millions of rows, and the
+    driver would unpack and hash them all.
+    """
+    return df.hint("merge")
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

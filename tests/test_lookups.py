@@ -84,6 +84,19 @@ def test_address_resolution_is_the_cascade(spark, address_source):
     assert all(outcome[k]["match_count"] == len(v) and outcome[k]["auto_selected"] == (len(v) == 1) for k, v in want.items())
 
 
+def test_no_request_is_sent_through_the_driver(spark, address_source):
+    """Requests of few different values are small in a file and large in the driver, so no join sends them there."""
+    seen = spark.createDataFrame([(i, "100", "MAIN", "V6H2J4", "2024", 3) for i in range(30)], "request_id int, street_number string, street_name string, property_postal_code string, report_year string, limit int")
+    index = addresses.address_index(addresses.address_table(address_source, "row_id"))
+    found = addresses.resolve_addresses(seen, index, F.lit(2025))
+    nodes = spark.createDataFrame([(2024, 0, 100)], "_year int, level int, block long")
+    texts = spark.createDataFrame([("MAIN ST",)], "text string")
+    pairs = addresses.containing_texts(spark.createDataFrame([("MAIN",)], "pattern string"), "pattern", texts, "text")
+    for df in (found, addresses.lookup_outcome(seen, found), addresses.asked_streets(index, nodes), pairs):
+        assert df.count() > 0
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stored_index_is_read_by_its_buckets(spark, address_source, tmp_path):
     path = f"file:{tmp_path}/index"
     addresses.write_address_index(addresses.address_table(address_source, "row_id"), path, max_limit=5)
