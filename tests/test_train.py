@@ -139,3 +139,18 @@ def test_registered_model_is_trained_on_the_whole_table(spark, monkeypatch):
     monkeypatch.setattr(lookups.scoring, "score_requests", lambda *a: looked.append(a[2]))
     lookups.score_requests(spark, sf)
     assert looked == [model]
+
+
+def test_training_is_dealt_to_all_tasks(spark, table, fitted, monkeypatch):
+    """A table of one file has one task, and so had everything written from it."""
+    written = []
+
+    def kept(df, *a, **k):
+        written.append(df)
+        return staged_split(df, *a, **k)
+
+    staged_split = train.staged_split
+    monkeypatch.setattr(train, "staged_split", kept)
+    monkeypatch.setattr(train, "fit_model", lambda *a: fitted[0])
+    train.train_and_score(table.coalesce(1), fitted[0].settings)
+    assert written[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
