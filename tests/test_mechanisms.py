@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadastra.operators import checks, history, history_store, pruning, requests, sketches
-from cadastra.operators.shuffles import grid, permuted
+from cadastra.operators.shuffles import grid, permuted, with_permuted
 from cadastra.plans import choose, importance, train
 from cadastra.session import observed_stage, stage
 from cadastra.sources.sinks import write_partitions, write_table
@@ -34,6 +34,13 @@ def test_permutations_are_one_to_one(spark, n):
             assert sum(abs(p[i] - p[i + 1]) < n / 100 for i in range(n - 1)) < n / 10  # neighbours part
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1001])
+def test_permutation_by_projections_is_the_same(spark, n):
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(3), F.lit(9))).alias("k"))
+    both = with_permuted(rows.withColumn("one", permuted("id", n, F.col("k"))), "other", "id", n, F.col("k"))
+    assert both.columns == ["id", "k", "one", "other"] and both.where("one = other").count() == 7 * n
+
+
 def test_permutation_of_many_rows(spark):
     n = 10**18 + 9
     rows = spark.createDataFrame([(0,), (1,), (n - 1,)], "id long").select(permuted("id", n, F.lit(5)).alias("p")).collect()
