@@ -143,6 +143,14 @@ def test_range_join_is_exact(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_range_join_uses_all_tasks(spark):
+    points = spark.range(0, 2000, 1, 1)
+    held = spark.range(0, 10, 1, 1).select(F.col("id").alias("low"), (F.col("id") + 500).alias("high"))
+    joined = ranges.range_join(points, held, "id", "low", "high")
+    assert joined.count() == 10 * 501
+    assert joined.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_facets_skip_steps_that_leave_nothing(spark):
     lookup = spark.createDataFrame(
         [(2025, "V6H2J4", "LAND", "D1"), (2025, "V6H2J4", "STRATA", "D2"), (2025, "V6H9Z9", "STRATA", "D1"),
