@@ -197,3 +197,44 @@ def test_bitmaps_never_hide_what_is_shared(spark):
     got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(_only_in(F.col("a"), F.col("b")), _only_in(F.col("b"), F.col("a"))).collect()
     for (x, y), (u, v) in zip(got, want):
         assert u * 0.6 <= x <= u and v * 0.6 <= y <= v
+
+
+def test_a_common_passage_makes_no_candidates(documents, monkeypatch):
+    """Texts that have nothing but a short passage in common aren't paired; copies among them still are."""
+    import cadastra.llm.ngram_join as join
+
+    draw = random.Random(5)
+    rows = [(i, " ".join([f"p{i // 3}_{j}" for j in range(10)] + [f"w{draw.randrange(10**9)}" for _ in range(100)])) for i in range(60)]
+    seen, judged = [], join._judged
+    monkeypatch.setattr(join, "_judged", lambda pairs, held: seen.append(pairs.count()) or judged(pairs, held))
+    assert all(r.component_id == r.doc_id for r in join.similar_groups(documents(rows)).collect())
+    assert sum(seen) == 0
+    rows.append((99, rows[7][1] + " more"))
+    assert {r.doc_id: r.component_id for r in join.similar_groups(documents(rows)).collect()} == {i: 7 if i == 99 else i for i, _ in rows}
+
+
+def test_lists_keep_every_similar_pair(spark, documents):
+    """Against all pairs, and at the bound: what a set has more than its part comes first under the order."""
+    import cadastra.llm.ngram_join as join
+    import numpy as np
+
+    def check(rows, orders):
+        sets = dict(join.shingle_sets([t for _, t in rows]))
+        lists = defaultdict(set)
+        for r in join._lists(documents(rows).select("text"), spark.sparkContext.broadcast(orders)).collect():
+            lists[r.node].add(r.list)
+        want = 0
+        for a in range(len(rows)):
+            for b in range(a):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if shared and 100 * shared >= 80 * (len(sets[a]) + len(sets[b]) - shared) and join._node(sets[a]) != join._node(sets[b]):
+                    assert lists[join._node(sets[a])] & lists[join._node(sets[b])]
+                    want += 1
+        assert want
+
+    check(near_copies(6), join.Orders(np.empty(0, np.uint64), np.empty(0, np.int64)))
+    for n in (5, 40, 100, 101, 333):
+        words = [f"w{i}" for i in range(n + 4)]
+        rows = [(1, " ".join(words)), (2, " ".join(words[: -(-4 * n // 5) + 4]))]
+        _, part = list(join.shingle_sets([rows[1][1]]))[0]
+        check(rows, join.Orders(part, np.full(len(part), 5)))
