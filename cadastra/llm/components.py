@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadastra.session import stage
+from cadastra.session import collect_garbage, stage
 
 
 def _nearest_root(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,19 @@ def components(links: DataFrame) -> DataFrame:
     neighbours is a skewed key of a join, which Spark splits; it is never
     gathered.
     """
-    edges = links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    # Every step reads a written table: its plan doesn't repeat those of the steps before it.
+    edges = stage(links.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         larger = both.join(_nearest_root(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = larger.where(F.col("u") != F.col("v")).distinct()
-        joined = hung.join(_nearest_root(hung), "u")
-        smaller = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        hung = stage(larger.where(F.col("u") != F.col("v")).distinct())
+        ends = F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m")))
+        smaller = hung.join(_nearest_root(hung), "u").select(ends.alias("end")).select(F.col("end.v").alias("u"), F.col("end.m").alias("v"))
         edges = stage(smaller.where(F.col("u") != F.col("v")).distinct())
+        collect_garbage(links.sparkSession)
         # Done when each node hangs under one other, and none of those under another.
-        roots = edges.select(F.col("v").alias("u")).distinct()
-        state = edges.groupBy("u").agg(F.count("*").alias("n")).unionByName(roots.select("u", F.lit(2).cast("long").alias("n")).join(edges, "u", "left_semi"))
-        if state.where("n > 1").isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
+        state = edges.select("u", F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+        state = state.groupBy("u").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        if state.where((F.col("hangs") > 1) | ((F.col("hangs") > 0) & (F.col("holds") > 0))).isEmpty():
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return stage(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cadastra.llm.components import components
 from cadastra.llm.hashing import blocks, mix, ngrams, word_hashes
 from cadastra.llm.url_filter import bloom_level
-from cadastra.session import stage
+from cadastra.session import collect_garbage, stage
 
 WORDS = 5
 PERCENT = 80
@@ -341,7 +341,9 @@ def _judged(pairs: DataFrame, held: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["node", "to"])
 
     links = whole.select("node", "to", "a", "b").mapInArrow(run, "node long, to long").distinct().withColumn("link", F.lit(True))
-    return stage(filtered.join(links, ["node", "to"], "left").select("node", "to", "near", F.coalesce("link", F.lit(False)).alias("link")))
+    judged = stage(filtered.join(links, ["node", "to"], "left").select("node", "to", "near", F.coalesce("link", F.lit(False)).alias("link")))
+    collect_garbage(pairs.sparkSession)
+    return judged
 
 
 def _open(pairs: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
@@ -355,15 +357,17 @@ def _open(pairs: DataFrame, judged: DataFrame, roots: DataFrame) -> DataFrame:
     known = known.join(roots.select(F.col("node").alias("to"), F.col("root").alias("b")), "to", "left")
     loose = stage(known.select("node", "to", "near", (F.coalesce("a", "node") != F.coalesce("b", "to")).alias("apart")))
     apart = loose.where("apart").select("node", "to", "near")
-    leaders = loose.groupBy("to").agg(F.count("*").alias("n"), F.max("apart").alias("apart"), F.max(F.col("near") & F.col("apart")).alias("near")).where("apart")
+    leaders = stage(loose.groupBy("to").agg(F.count("*").alias("n"), F.max("apart").alias("apart"), F.max(F.col("near") & F.col("apart")).alias("near")).where("apart"))
     far = loose.join(leaders.where((F.col("n") > 1) & ~F.col("near")).select("to"), "to", "left_semi").select("node")
     whole = leaders.where("near").select("to")
     across = pairs.where("across").select("node", "to")
-    ends = across.select("node").unionByName(across.select(F.col("to").alias("node"))).distinct()
-    split = apart.select("node").unionByName(apart.select(F.col("to").alias("node"))).distinct().join(ends, "node", "left_semi")
-    tops = across.join(split, "node", "left_semi").select("to").unionByName(split.select(F.col("node").alias("to"))).distinct()
-    lists = across.join(tops, "to", "left_semi").select(F.col("node").alias("to")).unionByName(tops)
-    whole = whole.unionByName(lists).distinct()
+    if not across.isEmpty():
+        ends = across.select(F.explode(F.array("node", "to")).alias("node")).distinct()
+        split = stage(apart.select(F.explode(F.array("node", "to")).alias("node")).distinct().join(ends, "node", "left_semi"))
+        tops = stage(across.join(split, "node", "left_semi").select("to").unionByName(split.select(F.col("node").alias("to"))).distinct())
+        lists = across.join(tops, "to", "left_semi").select(F.col("node").alias("to")).unionByName(tops)
+        whole = whole.unionByName(lists)
+    whole = stage(whole.distinct())
     members = pairs.select("node", "to").join(whole, "to", "left_semi").select("node").unionByName(whole.select(F.col("to").alias("node")))
     return far.unionByName(members).distinct()
 
@@ -489,6 +493,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # tells the text that others are copies of, then without leaders.
     for leaders in (True, False):
         left = stage(_open(pairs, judged, roots))
+        collect_garbage(spark)
         if left.isEmpty():
             break
         still = _lists(held.join(left, "node", "left_semi").select("text"), orders)

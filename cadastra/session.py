@@ -107,3 +107,16 @@ def stage(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let the driver give back the memory of stages that have ended, if its heap takes over half of what it may.
+
+    A job of many small stages leaves plans, generated code and accounts of
+    shuffles; the heap grows with them before they are collected, and with it
+    what the driver's process holds.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()

@@ -154,6 +154,42 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(n + 1)}, 200: 200, 201: 200}
 
 
+def test_steps_of_groups_dont_repeat_each_other(spark, documents, monkeypatch):
+    """The driver plans each step on written tables: one join for a step of the components, a few for what is still open."""
+    from cadastra.llm import components as steps
+    from cadastra.llm import ngram_join
+
+    joins, write = [], steps.stage
+
+    def counted(df):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df)
+
+    monkeypatch.setattr(steps, "stage", counted)
+    components(spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long"))
+    assert len(joins) > 3 and max(joins) == 1
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    monkeypatch.setattr(ngram_join, "LIST_ROWS", 2)
+    monkeypatch.setattr(ngram_join, "LOCALLY_FREQUENT", 2)
+    rows = near_copies(3)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in similar_groups(documents(rows)).collect()) == groups(rows)
+    assert max(joins) <= 5
+
+
+def test_garbage_is_collected_when_the_heap_is_half_full():
+    from types import SimpleNamespace
+
+    from cadastra.session import collect_garbage
+
+    for total, times in ((50, 0), (51, 1)):
+        seen = []
+        heap = SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 100)
+        lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: seen.append(1)))
+        jvm = SimpleNamespace(java=SimpleNamespace(lang=lang))
+        collect_garbage(SimpleNamespace(sparkContext=SimpleNamespace(_jvm=jvm)))
+        assert len(seen) == times
+
+
 @pytest.mark.parametrize("tile", [1 << 17, 600])
 def test_links_without_leaders(spark, documents, monkeypatch, tile):
     """Against all pairs on one list, with one tile for a size and with many."""
