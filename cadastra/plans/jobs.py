@@ -17,7 +17,7 @@ from cadastra.operators.yearly import yearly_from_monthly, yearly_passthrough
 from cadastra.plans import evaluate, importance, scoring, train
 from cadastra.plans.clean_fact import clean_fact, clean_summary, read_extract
 from cadastra.plans.model_table import build_model_table, model_table_summary
-from cadastra.session import build_session, stage
+from cadastra.session import build_session, dealt, stage
 from cadastra.sources import census as census_source
 from cadastra.sources import sheets
 from cadastra.sources.delimited import path_exists, read_columns, read_optional_table, read_text_table
@@ -86,7 +86,7 @@ def model_table(
     facts = spark.read.parquet(fact)
     sources = {name: read(path) for name, path in series.items()}
     guard = RowGuard()
-    table, notes = build_model_table(facts, sources, read(census), merge_census == "yes", guard=guard)
+    table, notes = build_model_table(dealt(facts), sources, read(census), merge_census == "yes", guard=guard)
     write_table(table, out, [YEAR])
     guard.check()
     written = spark.read.parquet(out).select(*table.columns)

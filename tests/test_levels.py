@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 from statistics import median
 
+from pyspark.sql import functions as F
+
+from __spark_entry__ import SMOKE_DIR
 from cadastra.operators import completion, levels
 from cadastra.operators.quantiles import exact_quantiles
 from cadastra.session import stage
+from registry import lookups, standins
 
 SCHEMA = "REPORT_YEAR int, NEIGHBOURHOOD_CODE string, neigh_v double, plain double, word string"
 GROUPS = {"neigh_": "NEIGHBOURHOOD_CODE"}
@@ -72,3 +76,20 @@ def test_stored_values_complete_a_batch(spark, tmp_path):
     for r, (_, year, group, plain, word) in zip(sorted(got, key=lambda r: r["request_id"]), asked):
         pick = lambda f: known.get(("neigh_", year, group, f), known.get(("year", year, None, f), known[("all", None, None, f)]))
         assert (r["neigh_v"], r["plain"], r["word"]) == (pick("neigh_v"), pick("plain") if plain is None else plain, word or pick("word"))
+
+
+def test_facts_and_requests_are_dealt_before_they_are_cleaned(spark):
+    """A table of one file has one task, and so had the cleaning of its rows."""
+    cores = spark.sparkContext.defaultParallelism
+    asked = lookups.scoring_requests(spark, SMOKE_DIR)
+    assert asked.rdd.getNumPartitions() == 1
+    assert completion.request_fields(asked, F.lit(2026)).rdd.getNumPartitions() >= cores
+    assert standins.raw_extract(spark, SMOKE_DIR).rdd.getNumPartitions() >= cores
+
+
+def test_the_model_table_is_counted_without_being_written(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(lookups, "stage", lambda df: written.append(df.columns) or stage(df))
+    out = lookups.feature_completion(spark, SMOKE_DIR)
+    assert written and all("request_id" in columns for columns in written)
+    assert {r[0] for r in out.select("LOOKUP_SUPPORTED_YEAR_RANGE").distinct().collect()} == {"2020-2026"}
