@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, functions as F
+from pyspark.sql import functions as F
 
 from cadastra.operators import addresses, completion, counts, facets, ranges, requests
 from cadastra.plans import evaluate, scoring, train
@@ -288,32 +288,24 @@ def _completion_sql() -> str:
     )
 
 
-def _model_with_years(spark, sf):
-    """The model table and its first and last year, known when the one pass that counts its levels has ended."""
-    years = Observation()
-    model = model_table_parts(spark, sf)[0]
-    low, high = F.min("REPORT_YEAR"), F.max("REPORT_YEAR")
-    return model.observe(years, low.cast("int").alias("min_year"), high.cast("int").alias("max_year")), years
-
-
 @query(_completion_sql())
 def feature_completion(spark, sf):
-    model, years = _model_with_years(spark, sf)
+    model = model_table_parts(spark, sf)[0]  # read once for its levels, so not written
     fields = completion.request_fields(scoring_requests(spark, sf), F.lit(2026))
     fields = stage(fields.select("request_id", "REPORT_YEAR", *_OWN.values()))
     out = completion.complete_features(fields, model, _WANTED, ["LOT"])
-    out = completion.with_year_range(out, spark.createDataFrame([years.get], "min_year int, max_year int"))
+    out = completion.with_year_range(out, counts.year_bounds(model, "REPORT_YEAR"))
     return rounded(out.select("request_id", *_WANTED, "LOT", "LOOKUP_YEAR_FALLBACK", "LOOKUP_SUPPORTED_YEAR_RANGE"))
 
 
 def _all_features(spark, sf):
     """Completed requests: every feature that the model could train on, theirs where they give it."""
-    model, years = _model_with_years(spark, sf)
+    model = model_table_parts(spark, sf)[0]  # read once for its levels, so not written
     settings = train.TrainSettings()
     cat_cols, numeric_cols = counts.column_kinds(model.select(*sorted(counts.feature_columns(model, {settings.target, settings.year, *settings.ids}))))
     fields = stage(completion.request_fields(scoring_requests(spark, sf), F.lit(2026)).drop("errors", "missing_fields"))
     out = completion.complete_features(fields, model, numeric_cols, cat_cols)
-    out = completion.with_year_range(out, spark.createDataFrame([years.get], "min_year int, max_year int"))
+    out = completion.with_year_range(out, counts.year_bounds(model, "REPORT_YEAR"))
     return out.select("request_id", "REPORT_YEAR", *cat_cols, *numeric_cols, "LOOKUP_YEAR_FALLBACK", "LOOKUP_SUPPORTED_YEAR_RANGE")
 
 

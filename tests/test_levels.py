@@ -8,7 +8,7 @@ from statistics import median
 from pyspark.sql import functions as F
 
 from __spark_entry__ import SMOKE_DIR
-from cadastra.operators import completion, levels
+from cadastra.operators import completion, counts, levels
 from cadastra.operators.quantiles import exact_quantiles
 from cadastra.session import stage
 from registry import lookups, standins
@@ -93,3 +93,5 @@ def test_the_model_table_is_counted_without_being_written(spark, monkeypatch):
     out = lookups.feature_completion(spark, SMOKE_DIR)
     assert written and all("request_id" in columns for columns in written)
     assert {r[0] for r in out.select("LOOKUP_SUPPORTED_YEAR_RANGE").distinct().collect()} == {"2020-2026"}
+    bounds = counts.year_bounds(lookups.model_table_parts(spark, SMOKE_DIR)[0], "REPORT_YEAR")
+    assert "Join" not in bounds._jdf.queryExecution().optimizedPlan().toString()
