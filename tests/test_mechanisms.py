@@ -60,6 +60,19 @@ def test_rise_of_a_known_model(spark):
     assert importance.shuffled_rise(rows.where("row < 0"), predict).count() == 0
 
 
+def test_permutations_meet_the_rows_a_few_at_a_time(spark, monkeypatch):
+    """All cells at once are repeats times features times the table in shuffle files."""
+    rows = stage(spark.range(200).select(F.col("id").alias("row"), F.array(*[F.rand(i) for i in range(5)]).alias("x"), F.rand(9).alias("label")))
+    predict = lambda df: df.withColumn("prediction", F.col("x")[0] + 2 * F.col("x")[4])
+    at_once = {r.feature: r.rise for r in importance.shuffled_rise(rows, predict, 3).collect()}
+    met = []
+    monkeypatch.setattr(importance, "stage", lambda df: met.append(df.count()) or stage(df))
+    monkeypatch.setattr(importance, "AT_ONCE", 4)
+    monkeypatch.setattr(importance, "CELLS", 0)
+    in_steps = {r.feature: r.rise for r in importance.shuffled_rise(rows, predict, 3).collect()}
+    assert met == [4, 4, 4, 3] and in_steps == pytest.approx(at_once) and at_once[0] != 0
+
+
 def test_history_of_batches_is_the_history_of_all(spark, tmp_path):
     draw = random.Random(2)
     facts = [(draw.choice([2020, 2021, 2022, 2023]), draw.choice(["a", "b", None]), draw.choice([None, *map(float, range(20))])) for _ in range(300)]
