@@ -154,3 +154,24 @@ def test_training_is_dealt_to_all_tasks(spark, table, fitted, monkeypatch):
     monkeypatch.setattr(train, "fit_model", lambda *a: fitted[0])
     train.train_and_score(table.coalesce(1), fitted[0].settings)
     assert written[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_a_table_of_many_files_is_not_dealt_again(spark, table, fitted, monkeypatch, tmp_path):
+    """Dealing shuffles the whole table, which only a table of few files needs."""
+    path = f"file:{tmp_path}/model"
+    table.repartition(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    dealt_, real = [], train.dealt
+    monkeypatch.setattr(train, "dealt", lambda df, *keys: dealt_.append(keys) or real(df, *keys))
+    monkeypatch.setattr(train, "fit_model", lambda *a: fitted[0])
+    many = train.train_and_score(spark.read.parquet(path), fitted[0].settings)
+    assert not dealt_
+    few = train.train_and_score(spark.read.parquet(path).coalesce(1).localCheckpoint(), fitted[0].settings)
+    assert dealt_ == [("PID",)] and many[1].count() == few[1].count() and many[2].exceptAll(few[2]).isEmpty()
+
+
+def test_judged_rows_are_narrow(fitted):
+    bundle, scored, before = fitted
+    own = train.judged(scored, "NEIGHBOURHOOD_CODE")
+    assert own.columns == ["y_true", "y_pred", "NEIGHBOURHOOD_CODE"]
+    first, second = (train.result_row(bundle, df, before).first().asDict() for df in (own, scored))
+    assert all(second[k] == (pytest.approx(v) if isinstance(v, float) else v) for k, v in first.items())
